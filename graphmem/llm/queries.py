@@ -14,6 +14,45 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def _tokenizer(name: str = "piece_bpe_32k.model") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphmem.llm.sentencepiece_codec import decode, encode
+
+    encoded = encode(_documents(spark, sf_dir, "doc_id", "text"), _tokenizer())
+    facts = encoded.select("doc_id", "text", F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("pieces_hash"), "piece_ids")
+    seen = F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")
+    return decode(facts, _tokenizer()).select("doc_id", "n_pieces", "pieces_hash", (F.col("decoded") == seen).alias("round_trip"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphmem.llm.quality_rules import quality_rules
+
+    return quality_rules(_documents(spark, sf_dir, "doc_id", "text"))
+
+
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphmem.llm.language_id import fit, identify
+
+    model = fit(_documents(spark, sf_dir, "doc_id", "text", "lang").where(_remainder(4) != 2))
+    found = identify(_documents(spark, sf_dir, "doc_id", "text"), model)
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphmem.llm.token_counts import token_counts
+
+    return token_counts(_documents(spark, sf_dir, "doc_id", "text"), _tokenizer(), 4096)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphmem.llm.substring_dedup import substring_dedup
 
@@ -22,7 +61,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op9_substring_dedup,)}
+    return {f.__name__: f for f in (op3_sentencepiece_codec, op4_quality_rules, op5_language_id, op8_token_counts, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
