@@ -47,6 +47,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphmem.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(_documents(spark, sf_dir, "doc_id", "text"), 3, 90).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphmem.llm.token_counts import token_counts
 
@@ -61,7 +67,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_sentencepiece_codec, op4_quality_rules, op5_language_id, op8_token_counts, op9_substring_dedup)}
+    return {f.__name__: f for f in (op3_sentencepiece_codec, op4_quality_rules, op5_language_id, op7_jaccard_join, op8_token_counts, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
