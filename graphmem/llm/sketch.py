@@ -23,6 +23,8 @@ from graphmem.llm.textarrays import U64, mix, pack, unpack
 DEPTH, CELLS_PER_KEY = 2, 16
 #: Bytes of text in a group, about.
 GROUP_BYTES = 1_500_000
+#: Keys that a block gets at least, if there are so many: a group's message to a block shouldn't be a few keys.
+BLOCK_KEYS = 100_000
 SENT = "grp long, row int, block int, cells binary, counts binary"
 ANSWERED = "grp long, row int, block int, totals binary"
 _SALTS = (U64(0), U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9))
@@ -35,7 +37,7 @@ class Layout:
         n = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
         parts = shuffle_partitions(df.sparkSession)
         self.groups = max(4 * parts, -(-n // GROUP_BYTES))
-        self.blocks = 2 * parts
+        self.blocks = max(1, min(2 * parts, int(n / key_bytes / BLOCK_KEYS)))
         self.bits = max(32, int(CELLS_PER_KEY * n / key_bytes).bit_length())
 
     def dealt(self, df: DataFrame, key: str) -> DataFrame:
