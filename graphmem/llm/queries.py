@@ -14,6 +14,19 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphmem.llm.toxicity import fit, score
+
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    learned = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_remainder(5) != 0)
+    found = score(docs, fit(docs, learned))
+    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def _tokenizer(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
@@ -35,10 +48,6 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir, "doc_id", "text"))
 
 
-def _remainder(n: int):
-    return F.crc32(F.col("doc_id").cast("string")) % n
-
-
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphmem.llm.language_id import fit, identify
 
@@ -67,7 +76,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_sentencepiece_codec, op4_quality_rules, op5_language_id, op7_jaccard_join, op8_token_counts, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op3_sentencepiece_codec, op4_quality_rules, op5_language_id, op7_jaccard_join, op8_token_counts, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
