@@ -27,6 +27,40 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphmem.llm.decontaminate import contamination
+
+    found = contamination(_documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10)
+    items = F.sha2(F.array_join("item_ids", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP2_SQL = r"""
+with word as (
+    select 'd' as kind, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+    union all
+    select 'i', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark
+), item as (
+    select id, least(10, len(w)) as n, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from word where kind = 'i' and len(w) > 0
+), gram as (
+    select distinct id, n, array_to_string(w[i : i + n - 1], ' ') as g from item
+), place as (
+    select id, w, n, unnest(range(1, len(w) - n + 2)) as i from word, (select distinct n from gram) where kind = 'd' and len(w) >= n
+), spelled as (
+    select id, n, i, array_to_string(w[i : i + n - 1], ' ') as g from place
+), hit as (
+    select s.id, s.i, s.n, gram.id as item from spelled s join gram on gram.g = s.g and gram.n = s.n
+), covered as (
+    select id, count(distinct p) as n_hit from (select id, unnest(range(i, i + n)) as p from hit) group by id
+), listed as (
+    select id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct id, cast(item as varchar) as item from hit) group by id
+)
+select word.id as doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+    sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from word left join covered on covered.id = word.id left join listed on listed.id = word.id where kind = 'd'
+"""
+
+
 def _tokenizer(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
@@ -76,8 +110,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op3_sentencepiece_codec, op4_quality_rules, op5_language_id, op7_jaccard_join, op8_token_counts, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_sentencepiece_codec, op4_quality_rules, op5_language_id, op7_jaccard_join, op8_token_counts, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": OP2_SQL}

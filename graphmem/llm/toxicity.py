@@ -25,10 +25,10 @@ CHAR_PLACES, CHAR_DIM = 8, 6
 HEAD_BYTES, HEAD_ROWS, HEAD_DIM = 4, 2048, 8
 HIDDEN = 10
 #: The most labelled documents of each label that training reads, in the order of a hash of their ids.
-MAX_PER_LABEL = 1200
+MAX_PER_LABEL = 1800
 #: Windows of a clean document in an epoch, and of a toxic one once it can score.
 CLEAN_WINDOWS, TOXIC_WINDOWS = 3, 2
-EPOCHS, BATCH, RATE = 10, 128, 0.02
+EPOCHS, BATCH, RATE = 9, 192, 0.02
 BATCH_BYTES = 1 << 20
 
 #: Letters, digits and all bytes of longer characters make words.
