@@ -90,6 +90,28 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphmem.llm.chat_template import format_conversations, read_back
+
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    return read_back(format_conversations(rows.unionByName(own)))
+
+
+OP6_SQL = """
+with rows as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+    cast(sum(length(role) + length(text) + 23) + case when conv_id = -7 then 6 else 0 end as bigint) as formatted_chars
+from rows group by conv_id
+"""
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphmem.llm.jaccard_join import jaccard_join
 
@@ -110,8 +132,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_sentencepiece_codec, op4_quality_rules, op5_language_id, op7_jaccard_join, op8_token_counts, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_sentencepiece_codec, op4_quality_rules, op5_language_id, op6_chat_format, op7_jaccard_join, op8_token_counts, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL}
+    return {"op2_decontamination": OP2_SQL, "op6_chat_format": OP6_SQL}
