@@ -35,6 +35,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphmem.llm.license_scan import license_scan
+
+    found = license_scan(_documents(spark, sf_dir, "doc_id", "text"))
+    labels = F.array_sort(F.array_union("base_labels", "rule_labels"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), "score")
+
+
 OP2_SQL = r"""
 with word as (
     select 'd' as kind, doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
@@ -132,7 +140,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_sentencepiece_codec, op4_quality_rules, op5_language_id, op6_chat_format, op7_jaccard_join, op8_token_counts, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_sentencepiece_codec, op4_quality_rules, op5_language_id, op6_chat_format, op7_jaccard_join, op8_token_counts, op9_substring_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
