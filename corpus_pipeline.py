@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphmem.llm import decontaminate, jaccard_join, sentencepiece_codec, substring_dedup, toxicity
 from graphmem.llm.shared import written
 
-TOXIC, SHINGLE, SIMILAR, PASSAGE, LEAK = 0.5, 5, 80, 50, 10
+TOXIC, SHINGLE, SIMILAR, PASSAGE, LEAK = 0.5, 5, 80, 30, 10
 TOKENIZER = "piece_bpe_32k.model"
 
 
@@ -29,7 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the windows of 50 words that an earlier document has."""
+    """Texts without the windows of 30 words that an earlier document has."""
     return substring_dedup.remove_repeats(docs, PASSAGE)
 
 
