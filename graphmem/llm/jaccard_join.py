@@ -208,8 +208,8 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str
         return _rows(own, copies, layout, answers, size, percent)
 
     answers = sketch.merged(dealt.groupBy("grp").cogroup(reps.groupBy("grp")).applyInArrow(sketched, sketch.SENT))
-    replies = answers.select("grp", "row", "block", "totals", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("copies")).unionByName(
-        reps.select("grp", F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("block"), F.lit(None).cast("binary").alias("totals"), "doc_id", "copies")
+    replies = answers.select("grp", "block", "totals", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("copies")).unionByName(
+        reps.select("grp", F.lit(None).cast("int").alias("block"), F.lit(None).cast("array<binary>").alias("totals"), "doc_id", "copies")
     )
     matrix = written(dealt.groupBy("grp").cogroup(replies.groupBy("grp")).applyInArrow(rows, ROWS), "matrix")
 

@@ -25,8 +25,8 @@ DEPTH, CELLS_PER_KEY = 2, 16
 GROUP_BYTES = 1_500_000
 #: Keys that a block gets at least, if there are so many: a group's message to a block shouldn't be a few keys.
 BLOCK_KEYS = 100_000
-SENT = "grp long, row int, block int, cells binary, counts binary"
-ANSWERED = "grp long, row int, block int, totals binary"
+SENT = "grp long, block int, cells array<binary>, counts array<binary>"
+ANSWERED = "grp long, block int, totals array<binary>"
 _SALTS = (U64(0), U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9))
 
 
@@ -36,7 +36,7 @@ class Layout:
     def __init__(self, df: DataFrame, text: str, key_bytes: float):
         n = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
         parts = shuffle_partitions(df.sparkSession)
-        self.groups = max(4 * parts, -(-n // GROUP_BYTES))
+        self.groups = max(2 * parts, -(-n // GROUP_BYTES))
         self.blocks = max(1, min(2 * parts, int(n / key_bytes / BLOCK_KEYS)))
         self.bits = max(32, int(CELLS_PER_KEY * n / key_bytes).bit_length())
 
@@ -59,45 +59,53 @@ def code(totals: np.ndarray) -> np.ndarray:
 
 
 def send(layout: Layout, group: int, keys: np.ndarray) -> pa.Table:
-    """The sketch of one group; ``keys``: the distinct keys of each document, one after another."""
-    rows: dict[str, list] = {"grp": [], "row": [], "block": [], "cells": [], "counts": []}
+    """The sketch of one group, all rows of a block in one message; ``keys``: the distinct keys of each document, one after another."""
+    parts: list[list[tuple[bytes, bytes]]] = [[] for _ in range(layout.blocks)]
     for row in range(DEPTH):
         cells, counts = np.unique(layout.cells(keys, row), return_counts=True)
         cut = [0, *np.searchsorted(cells, layout.block_edges(layout.bits)), len(cells)]
         small = np.minimum(counts, 255).astype(np.uint8)
-        for block, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)):
-            if hi > lo:
-                for name, value in zip(rows, (group, row, block, pack(cells[lo:hi]), small[lo:hi].tobytes()), strict=True):
-                    rows[name].append(value)
-    return pa.table(rows, schema=pa.schema([("grp", pa.int64()), ("row", pa.int32()), ("block", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())]))
+        for part, lo, hi in zip(parts, cut, cut[1:], strict=False):
+            part.append((pack(cells[lo:hi]), small[lo:hi].tobytes()))
+    full = [(b, p) for b, p in enumerate(parts) if any(cells for cells, _ in p)]
+    rows = {"grp": [group] * len(full), "block": [b for b, _ in full], "cells": [[x for x, _ in p] for _, p in full], "counts": [[x for _, x in p] for _, p in full]}
+    return pa.table(rows, schema=pa.schema([("grp", pa.int64()), ("block", pa.int32()), ("cells", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary()))]))
 
 
-def _add_up(sent: pa.Table) -> pa.Table:
-    parts = [unpack(x) for x in sent.column("cells").to_pylist()]
+def _totals(packed: list[bytes], counted: list[bytes]) -> list[bytes]:
+    """For each sender of one row of a block, the codes of the totals of its cells."""
+    parts = [unpack(x) for x in packed]
     cells = np.concatenate(parts)
-    counts = np.frombuffer(b"".join(sent.column("counts").to_pylist()), np.uint8)
+    if not len(cells):
+        return [b""] * len(parts)
+    counts = np.frombuffer(b"".join(counted), np.uint8)
     order = np.argsort(cells, kind="stable")
     first = np.flatnonzero(np.diff(cells[order], prepend=cells[order[0]] + U64(1)) != 0)
     totals = np.add.reduceat(counts[order].astype(np.int64), first)
     answer = np.empty(len(cells), np.uint8)
     answer[order] = np.repeat(code(totals), np.diff(np.append(first, len(cells))))
     ends = np.cumsum([len(x) for x in parts])
-    return pa.table({"grp": sent.column("grp"), "row": sent.column("row"), "block": sent.column("block"), "totals": pa.array([answer[e - len(x) : e].tobytes() for x, e in zip(parts, ends, strict=True)], pa.binary())})
+    return [answer[e - len(x) : e].tobytes() for x, e in zip(parts, ends, strict=True)]
+
+
+def _add_up(sent: pa.Table) -> pa.Table:
+    cells, counts = sent.column("cells").to_pylist(), sent.column("counts").to_pylist()
+    rows = [_totals([x[r] for x in cells], [x[r] for x in counts]) for r in range(DEPTH)]
+    return pa.table({"grp": sent.column("grp"), "block": sent.column("block"), "totals": pa.array([list(x) for x in zip(*rows, strict=True)], pa.list_(pa.binary()))})
 
 
 def merged(sent: DataFrame) -> DataFrame:
     """The answers to all groups."""
-    return sent.groupBy("row", "block").applyInArrow(_add_up, ANSWERED)
+    return sent.groupBy("block").applyInArrow(_add_up, ANSWERED)
 
 
 def estimates(layout: Layout, keys: np.ndarray, answers: pa.Table) -> np.ndarray:
-    """For each key, the ``code`` of an upper bound of the number of documents that hold it."""
-    row, block, totals = answers.column("row").to_numpy(), answers.column("block").to_numpy(), answers.column("totals").to_pylist()
+    """For each key, the ``code`` of an upper bound of the number of documents that hold it (of a group, 255 are counted at most)."""
+    totals = [t for _, t in sorted(zip(answers.column("block").to_pylist(), answers.column("totals").to_pylist(), strict=True))]
     least = np.full(len(keys), 255, np.uint8)
     for r in range(DEPTH):
         cells, back = np.unique(layout.cells(keys, r), return_inverse=True)
-        mine = sorted((b, i) for i, b in enumerate(block) if row[i] == r)
-        found = np.frombuffer(b"".join(totals[i] for _, i in mine), np.uint8)
+        found = np.frombuffer(b"".join(t[r] for t in totals), np.uint8)
         if len(found) != len(cells):
             raise ValueError("the answers are not those to this group's sketch")
         np.minimum(least, found[back], out=least)

@@ -104,7 +104,7 @@ def _covered(layout: sketch.Layout, w: _Windows, told: pa.Table, size: int) -> n
     """Which words of the group are removed."""
     cut = np.diff([0, *np.searchsorted(w.high[w.lead], layout.block_edges(64)), len(w.lead)])
     bits = dict(zip(told.column("block").to_pylist(), told.column("earlier").to_pylist(), strict=True))
-    parts = [np.unpackbits(np.frombuffer(bits[b], np.uint8), count=n).astype(bool) for b, n in enumerate(cut) if n]
+    parts = [np.unpackbits(np.frombuffer(bits[b][0], np.uint8), count=n).astype(bool) for b, n in enumerate(cut) if n]
     earlier = np.concatenate(parts) if parts else np.zeros(0, bool)
     gone = w.order[earlier[w.group] | (w.doc[w.order] > w.doc[w.lead][w.group])]
     steps = np.zeros(len(w.starts) + 1, np.int64)
@@ -169,7 +169,7 @@ def substring_dedup(docs: DataFrame, size: int = 13, id_col: str = "doc_id", tex
     def removing(table: pa.Table, replies: pa.Table) -> pa.Table:
         w = _Windows(table, size)
         kind = np.asarray(replies.column("kind").to_pylist(), np.int64)
-        answers = replies.filter(pa.array(kind == 0)).select(["row", "block", "bits"]).rename_columns(["row", "block", "totals"])
+        answers = replies.filter(pa.array(kind == 0)).select(["block", "bits"]).rename_columns(["block", "totals"])
         told = replies.filter(pa.array(kind == 1)).select(["block", "bits"]).rename_columns(["block", "earlier"])
         w.asked(layout, answers)
         return _table(table, w, _covered(layout, w, told, size), joined)
@@ -177,7 +177,7 @@ def substring_dedup(docs: DataFrame, size: int = 13, id_col: str = "doc_id", tex
     answers = sketch.merged(doc.groupBy("grp").applyInArrow(sketched, sketch.SENT))
     asked = doc.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(asking, ASKED)
     told = asked.groupBy("block").applyInArrow(_tell, TOLD)
-    replies = answers.select("grp", F.lit(0).alias("kind"), "row", "block", F.col("totals").alias("bits")).unionByName(told.select("grp", F.lit(1).alias("kind"), F.lit(0).alias("row"), "block", F.col("earlier").alias("bits")))
+    replies = answers.select("grp", F.lit(0).alias("kind"), "block", F.col("totals").alias("bits")).unionByName(told.select("grp", F.lit(1).alias("kind"), "block", F.array("earlier").alias("bits")))
     rest = doc.schema["rest"].dataType
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("rest", rest), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     return doc.groupBy("grp").cogroup(replies.groupBy("grp")).applyInArrow(removing, schema)
