@@ -7,8 +7,6 @@ writes will do.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,7 +89,3 @@ def _whole(df: DataFrame, name: str) -> DataFrame:
     """``df`` in the layout of a table, a missing column as null; of rows of equal uuid one stays."""
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]
     return df.select(*columns).dropDuplicates(["uuid"])
-
-
-def save_all(store: GraphStore, **rows: DataFrame) -> int:
-    return functools.partial(store.save)(**rows)
