@@ -28,7 +28,7 @@ def bm25(rows: DataFrame, text: Column, query: str, limit: int, groups: list[str
         return rows.limit(0).withColumn("score", F.lit(0.0))
     counted = rows.withColumn("_t", tokens(text)).withColumn("_len", F.size("_t").cast("double"))
     for i, term in enumerate(terms):
-        counted = counted.withColumn(f"_f{i}", F.size(F.filter("_t", lambda x, term=term: x == term)).cast("double"))
+        counted = counted.withColumn(f"_f{i}", _occurrences(term))
     counted = counted.drop("_t")
     stats = counted.agg(F.count("*").cast("double").alias("_n"), F.avg("_len").alias("_avg"), *[F.sum((F.col(f"_f{i}") > 0).cast("double")).alias(f"_d{i}") for i in range(len(terms))])
     any_term = functools.reduce(operator.or_, [F.col(f"_f{i}") > 0 for i in range(len(terms))])
@@ -40,6 +40,10 @@ def bm25(rows: DataFrame, text: Column, query: str, limit: int, groups: list[str
     return scored.select(*rows.columns, "score").orderBy(F.col("score").desc(), "uuid").limit(limit)
 
 
+def _occurrences(term: str) -> Column:
+    return F.size(F.filter("_t", lambda x: x == term)).cast("double")
+
+
 def _part(tf: Column, df: Column) -> Column:
     idf = F.log(1 + (F.col("_n") - df + 0.5) / (df + 0.5))
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))

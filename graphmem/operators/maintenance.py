@@ -13,7 +13,7 @@ def removed_with_episodes(edges: DataFrame, mentions: DataFrame, gone: DataFrame
 
     For one episode these are the edges it brought and the nodes mentioned exactly once, by it.
     """
-    first = edges.where(F.size("episodes") > 0).select("uuid", F.col("episodes")[0].alias("first"))
+    first = edges.where(F.size("episodes") > 0).select("uuid", F.get("episodes", F.lit(0)).alias("first"))
     dead_edges = first.join(gone.select(F.col("uuid").alias("first")), "first", "left_semi").select("uuid")
     touched = mentions.join(gone.select(F.col("uuid").alias("source_node_uuid")), "source_node_uuid", "left_semi").select("target_node_uuid")
     counts = mentions.join(touched.distinct(), "target_node_uuid", "left_semi").groupBy("target_node_uuid").agg(F.count("*").alias("n"))
@@ -38,23 +38,25 @@ def merged_node(resolved: dict[str, Column], given: dict[str, Column]) -> dict[s
 
 
 #: Dollars for a million tokens, in and out, by size of model.
-PRICES = {"medium": (0.40, 1.60), "small": (0.10, 0.40), "embedding": (0.02, 0.0)}
+PRICES = {"medium": ("0.40", "1.60"), "small": ("0.10", "0.40"), "embedding": ("0.02", "0.00")}
 
 
 def priced(ledger: DataFrame) -> DataFrame:
-    """``ledger`` (``model, tokens_in, tokens_out``) with ``cost``."""
-    cost = F.lit(0.0)
+    """``ledger`` (``model, tokens_in, tokens_out``) with ``cost``, in millionths of a dollar, exact."""
+    cost = F.lit("0.00").cast("decimal(24,2)")
     for model, (into, out) in PRICES.items():
-        cost = F.when(F.col("model") == model, (F.col("tokens_in") * into + F.col("tokens_out") * out) / 1e6).otherwise(cost)
+        own = F.col("tokens_in") * F.lit(into).cast("decimal(4,2)") + F.col("tokens_out") * F.lit(out).cast("decimal(4,2)")
+        cost = F.when(F.col("model") == model, own.cast("decimal(24,2)")).otherwise(cost)
     return ledger.withColumn("cost", cost)
 
 
 def cost_rollup(ledger: DataFrame, *by: str) -> DataFrame:
-    """Calls, tokens and cost by the given columns, with subtotals and a grand total (nulls)."""
-    return priced(ledger).rollup(*by).agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.round(F.sum("cost"), 6).alias("cost"))
+    """Calls, tokens and dollars by the given columns, with subtotals and a grand total (nulls)."""
+    totals = priced(ledger).rollup(*by).agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost").alias("cost"))
+    return totals.withColumn("cost", F.col("cost").cast("double") / 1e6)
 
 
 def monthly(ledger: DataFrame, per_day: int) -> DataFrame:
     """The mean cost of an ``add_episode`` operation, times episodes a day, times 30."""
     each = priced(ledger).where(F.contains("label", F.lit("add_episode"))).groupBy("operation").agg(F.sum("cost").alias("cost"))
-    return each.agg(F.round(F.avg("cost") * per_day * 30, 6).alias("monthly_cost"))
+    return each.agg((F.avg("cost").cast("double") / 1e6 * per_day * 30).alias("monthly_cost"))
