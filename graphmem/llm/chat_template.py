@@ -104,7 +104,7 @@ BINARY: dict[str, Callable] = {
     "and": lambda a, b: a and b,
     "or": lambda a, b: a or b,
 }
-LEVELS = (("or",), ("and",), ("==", "!=", "<=", ">=", "<", ">", "in"), ("+", "~"))
+LEVELS = (("or",), ("and",), ("==", "!=", "<=", ">=", "<", ">", "in"), ("~",), ("+",))
 _TOKEN = re.compile(r"\s*(?:(\d+)|'((?:[^'\\]|\\.)*)'|\"((?:[^\"\\]|\\.)*)\"|([A-Za-z_]\w*)|(==|!=|<=|>=|[-+~<>().,|\[\]=]))")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
