@@ -273,23 +273,26 @@ def _block(items: list[tuple[str, str]], at: int, ends: tuple[str, ...]) -> tupl
 def _joined(nodes: list[Node]) -> tuple[Node, ...]:
     """Neighbouring constant outputs as one; branches that constants decide are decided."""
     out: list[Node] = []
-    for node in nodes:
+    rest = list(reversed(nodes))
+    while rest:
+        node = rest.pop()
         if node.kind == "if":
             arms = [(t, b) for t, b in node.parts if not (isinstance(t, Const) and not t.value)]
-            if arms and isinstance(arms[0][0], Const):
-                out.extend(arms[0][1])
-                continue
-            if not arms:
+            if not arms or isinstance(arms[0][0], Const):
+                rest.extend(reversed(arms[0][1] if arms else ()))
                 continue
             node = Node("if", tuple(arms))
-        same = node.kind == "out" and isinstance(node.parts[0], Const) and out and out[-1].kind == "out" and isinstance(out[-1].parts[0], Const)
-        if same:
+        if out and _constant(node) and _constant(out[-1]):
             out[-1] = Node("out", (Const(_shown(out[-1].parts[0].value) + _shown(node.parts[0].value)),))
         else:
             out.append(node)
     return tuple(out)
 
 
+def _constant(node: Node) -> bool:
+    return node.kind == "out" and isinstance(node.parts[0], Const)
+
+
 # --- Closures --------------------------------------------------------------------------------------------------
 
 
