@@ -221,7 +221,8 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str
     tiled = placed.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("component", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "doc_id", "copies", "tile", "keys")
-    links = written(tiled.groupBy("component", "i", "j").applyInArrow(lambda key, table: _tile(key, table, percent), LINKS), "links")
+    # Dealt anew: what the join leaves is dealt by component, and a large class has many pairs of tiles.
+    links = written(tiled.repartition("component", "i", "j").groupBy("component", "i", "j").applyInArrow(lambda key, table: _tile(key, table, percent), LINKS), "links")
 
     joined = connected_components(links.where("b is not null"))
     degrees = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("degree").alias("degree"))
