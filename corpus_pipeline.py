@@ -42,10 +42,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, text, n_pieces, piece_ids`` and whether decoding gives the text back."""
     import public_tokenizers
 
-    model = public_tokenizers.path(TOKENIZER)
-    both = sentencepiece_codec.encode(docs.select("doc_id", "text"), model).select("doc_id", "text", "piece_ids", F.col("piece_ids").alias("ids"))
-    back = sentencepiece_codec.decode(both, model, ids_col="ids")
-    return back.select("doc_id", "text", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", (F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")).alias("round_trip"))
+    found = sentencepiece_codec.encode(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER), verify_col="round_trip")
+    return found.select("doc_id", "text", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "round_trip")
 
 
 STAGES = [

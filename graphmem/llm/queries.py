@@ -76,12 +76,10 @@ def _tokenizer(name: str = "piece_bpe_32k.model") -> str:
 
 
 def op3_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphmem.llm.sentencepiece_codec import decode, encode
+    from graphmem.llm.sentencepiece_codec import encode
 
-    encoded = encode(_documents(spark, sf_dir, "doc_id", "text"), _tokenizer())
-    facts = encoded.select("doc_id", "text", F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("pieces_hash"), "piece_ids")
-    seen = F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")
-    return decode(facts, _tokenizer()).select("doc_id", "n_pieces", "pieces_hash", (F.col("decoded") == seen).alias("round_trip"))
+    encoded = encode(_documents(spark, sf_dir, "doc_id", "text"), _tokenizer(), verify_col="round_trip")
+    return encoded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), F.xxhash64("piece_ids").alias("pieces_hash"), "round_trip")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

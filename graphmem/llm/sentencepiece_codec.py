@@ -9,6 +9,7 @@ of greatest total piece score; a character without a piece becomes its UTF-8 byt
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,9 +54,10 @@ class Codec:
             spelled[i] = bytes([b])
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
         self.spelled_at = np.concatenate(([0], np.cumsum([len(x) for x in spelled])))
-        self.known: dict[int, tuple[int, ...]] = {}
+        #: By the hash of a marked word, its ids as 32-bit integers.
+        self.known: dict[int, bytes] = {}
 
-    def encode_sorted(self, texts: list[str]) -> list[tuple[int, ...]]:
+    def encode_sorted(self, texts: list[str]) -> list[list[int]]:
         """The ids of each of the sorted marked words."""
         score, back, last = [0.0], [(0, 0)], ""
         find, missing, out = self.endings.get, (), []
@@ -81,7 +83,7 @@ class Codec:
                 i, piece = back[j]
                 ids.extend((piece,) if piece >= 0 else [self.bytes.get(b, self.unknown) for b in reversed(text[i:j].encode())])
                 j = i
-            out.append(tuple(reversed(ids)))
+            out.append(ids[::-1])
             last = text
         return out
 
@@ -95,10 +97,10 @@ class Codec:
             new = list(range(len(keys)))
         order = sorted((words.word(i), i) for i in new)
         for (_, i), ids in zip(order, self.encode_sorted([x for x, _ in order]), strict=True):
-            self.known[keys[i]] = ids
+            self.known[keys[i]] = array("i", ids).tobytes()
         own = [self.known[k] for k in keys]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.fromiter((x for ids in own for x in ids), np.int32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat = np.frombuffer(b"".join(own), np.int32)
         ids = _gathered(flat, np.concatenate(([0], np.cumsum(sizes))), words.index)
         before = np.concatenate(([0], np.cumsum(sizes[words.index])))
         return ids, before[words.bounds]
@@ -123,14 +125,14 @@ def codec(path: str) -> Codec:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
-    """``docs`` with column ``ids_col``, array<int>: the pieces of the whole text.
+def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "piece_ids", verify_col: str | None = None) -> DataFrame:
+    """``docs`` with column ``ids_col``, array<int>: the pieces of the whole text; with ``verify_col`` also whether decoding them gives the text back.
 
-    A null or empty text has no pieces.  All other columns pass through; a column of the same name as ``ids_col``
-    is replaced.  U+2581 in a text is encoded as a space, as the model has it.  One narrow stage, no shuffle.
+    A null or empty text has no pieces.  All other columns pass through; one of the same name as a new
+    column is replaced.  U+2581 in a text is encoded as a space, as the model has it.  One narrow stage, no shuffle.
     """
-    kept = docs.drop(ids_col) if ids_col in docs.columns else docs
-    schema = T.StructType([*kept.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), True))])
+    kept = docs.drop(*[c for c in (ids_col, verify_col) if c in docs.columns])
+    schema = T.StructType([*kept.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), True))] + ([T.StructField(verify_col, T.BooleanType())] if verify_col else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
@@ -139,7 +141,11 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
             for lo, hi, part in mw.known_pieces(batch.column(at).fill_null("")):
                 ids, offs = own.encode(part)
                 rows = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()))], names=[*rows.schema.names, ids_col])
+                arrays, names = [*rows.columns, pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()))], [*rows.schema.names, ids_col]
+                if verify_col:
+                    same = [a == (b or "").replace(mw.MARK, " ") for a, b in zip(own.decode(ids, offs), part.to_pylist(), strict=True)]
+                    arrays, names = [*arrays, pa.array(same, pa.bool_())], [*names, verify_col]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return kept.mapInArrow(run, schema)
 

@@ -36,6 +36,9 @@ BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 #: Multipliers of the two halves of a window's 128-bit hash.
 WINDOW_BASES = (U64(0xF1357AEA2E62A9C5), U64(0xAF251AF3B0F025B5))
 
+#: Bytes whose prefix sums are held at a time.
+SPAN_BYTES = 1 << 20
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -90,7 +93,22 @@ def words(data: np.ndarray, offs: np.ndarray, separator: np.ndarray = SPACE) ->
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from prefix sums of a polynomial."""
+    """A 64-bit hash of each span of bytes; spans are in order and don't overlap.
+
+    Taken a part at a time: a hash doesn't depend on where its span stands, and the sums of a part take a few times 8 bytes for each byte.
+    """
+    if len(data) <= SPAN_BYTES:
+        return _span_hashes(data, starts, ends)
+    out, i = np.empty(len(starts), U64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + SPAN_BYTES)))
+        out[i:j] = _span_hashes(data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i])
+        i = j
+    return out
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """From prefix sums of a polynomial."""
     up, down = _power(len(data) + 1)
     prefix = np.zeros(len(data) + 1, U64)
     np.cumsum(BYTE_VALUE[data] * up[: len(data)], dtype=U64, out=prefix[1:])

@@ -117,9 +117,14 @@ class Network:
         return pooled @ self.p["out"] + self.p["bias"], (passed, states, share, pooled)
 
     def logits(self, w: Words, numbers: np.ndarray) -> np.ndarray:
-        x = self.inputs(w)
-        tables = {d: x @ self.p[f"in_{d}"] + self.p[f"shift_{d}"] for d in "fb"}
-        return np.concatenate([self._forward(tables, part)[0] for part in np.array_split(numbers, max(1, len(numbers) // 4096))])
+        """Of each window; inputs are made for the words of some thousand windows at a time."""
+        out = []
+        for part in np.array_split(numbers, max(1, len(numbers) // 4096)):
+            rows, local = np.unique(np.append(0, part), return_inverse=True)
+            x = self.inputs(w, rows)
+            tables = {d: x @ self.p[f"in_{d}"] + self.p[f"shift_{d}"] for d in "fb"}
+            out.append(self._forward(tables, local[1:].reshape(part.shape))[0])
+        return np.concatenate(out)
 
     def gradients(self, w: Words, numbers: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         rows, local = np.unique(np.append(0, numbers), return_inverse=True)
