@@ -118,9 +118,9 @@ def edges_by_uuids(t: Tables) -> DataFrame:
     return own.select("uuid", F.col("source_node_uuid").alias("source"), F.col("target_node_uuid").alias("target"), "name")
 
 
-@query(f"with {EDGES} select uuid, name, array_to_string(episodes, ',') as episodes from edge where source = 'c:10' and target = 's:4'")
+@query(f"with {EDGES} select uuid, name, array_to_string(episodes, ',') as episodes from edge where source = 'n:1' and target = 'r:1'")
 def edges_between_nodes(t: Tables) -> DataFrame:
-    return reads.between(views.entity_edge(t), "c:10", "s:4").select("uuid", "name", F.array_join("episodes", ",").alias("episodes"))
+    return reads.between(views.entity_edge(t), "n:1", "r:1").select("uuid", "name", F.array_join("episodes", ",").alias("episodes"))
 
 
 @query(f"with {ENTITY}, {MENTIONS} select uuid, name from entity where uuid in (select entity from mention where episode in ('o:1', 'o:2', 'o:3', 'o:32'))")
@@ -386,9 +386,9 @@ def bfs_edges_d2(t: Tables) -> DataFrame:
     return traverse.bfs_edges(views.entity_edge(t), _origin(t, "c:1"), 2).select("uuid", "name")
 
 
-@query(f"with {_walk(2, 'c:2')} select uuid, name from entity where uuid in (select node from walk where d > 0) and group_id = (select group_id from entity where uuid = 'c:2') and group_id = 'ASIA'")
+@query(f"with {_walk(2, 'c:2')} select uuid, name from entity where uuid in (select node from walk where d > 0) and group_id = (select group_id from entity where uuid = 'c:2') and group_id = 'AMERICA'")
 def bfs_group_scope(t: Tables) -> DataFrame:
-    return traverse.bfs_nodes(views.entity(t), views.entity_edge(t), _origin(t, "c:2"), 2, groups=["ASIA"]).select("uuid", "name")
+    return traverse.bfs_nodes(views.entity(t), views.entity_edge(t), _origin(t, "c:2"), 2, groups=["AMERICA"]).select("uuid", "name")
 
 
 @query(f"""with {ENTITY}, {EDGES}, both_ as (select source as a, target as b from edge where source <> target union all select target, source from edge where source <> target),

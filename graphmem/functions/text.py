@@ -83,8 +83,13 @@ def truncate_at_sentence(s: Column, limit: int = MAX_SUMMARY_CHARS) -> Column:
 
 def truncate_bytes(s: Column, limit: int) -> Column:
     """At most ``limit`` UTF-8 bytes, never inside a character."""
-    raw = F.substring(F.encode(s, "UTF-8"), 1, limit)
-    return F.when(F.octet_length(s) <= limit, s).otherwise(F.regexp_replace(F.decode(raw, "UTF-8"), "�+$", ""))
+    start = F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("n"))
+    room = F.aggregate(
+        characters(F.substring(s, 1, limit)),
+        start,
+        lambda a, c: F.struct((a["bytes"] + F.octet_length(c)).alias("bytes"), (a["n"] + (a["bytes"] + F.octet_length(c) <= limit).cast("int")).alias("n")),
+    )
+    return F.when(F.octet_length(s) <= limit, s).otherwise(F.substring(s, F.lit(1), room["n"]))
 
 
 def isoformat(ts: Column) -> Column:
