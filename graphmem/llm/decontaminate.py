@@ -78,7 +78,7 @@ _MERGED = """aggregate(array_sort(spans), cast(array() as array<struct<lo: int,
     if(size(done) > 0 and element_at(done, -1).hi >= s.lo,
        concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).lo as lo, greatest(element_at(done, -1).hi, s.hi) as hi))),
        concat(done, array(s))))"""
-_SPANS = F.expr("transform(filter(hits, h -> h.pos >= 0), h -> struct(h.pos as lo, h.pos + h.len as hi))")
+_SPANS = "transform(filter(hits, h -> h.pos >= 0), h -> struct(h.pos as lo, h.pos + h.len as hi))"
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,7 +92,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     tokens = tokens.withColumn("n_words", F.size("w").cast("long"))
     rows = _verified(tokens, item_windows(items, size), ["row", "doc_id", "n_words"])
     each = rows.groupBy("row", "doc_id", "n_words").agg(F.collect_set(F.struct("pos", "len")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-    spans = each.withColumn("spans", _SPANS).withColumn("spans", F.expr(_MERGED))
+    spans = each.withColumn("spans", F.expr(_SPANS)).withColumn("spans", F.expr(_MERGED))
     return spans.select("doc_id", "n_words", F.expr("aggregate(spans, 0L, (n, s) -> n + (s.hi - s.lo))").alias("n_hit"), "item_ids", "spans")
 
 
@@ -107,7 +107,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, size: int = 10, remove: st
     key = {"_id": F.col(id_col), "_hash": F.xxhash64(F.col(text_col))}
     tokens = docs.select(*[c.alias(k) for k, c in key.items()], words(F.col(text_col)).alias("w"))
     hits = _verified(tokens, item_windows(items, size), list(key)).where("pos >= 0")
-    spans = hits.groupBy(*key).agg(F.collect_set(F.struct("pos", "len")).alias("hits")).withColumn("spans", _SPANS).select(*key, F.expr(_MERGED).alias("spans"))
+    spans = hits.groupBy(*key).agg(F.collect_set(F.struct("pos", "len")).alias("hits")).withColumn("spans", F.expr(_SPANS)).select(*key, F.expr(_MERGED).alias("spans"))
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), *[c.alias(f"own{k}") for k, c in key.items()])
     same = F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_hash") == F.col("_hash"))
     if remove == "documents":
