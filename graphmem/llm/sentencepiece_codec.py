@@ -2,8 +2,13 @@
 
 The distinct marked words of a batch (``marked_words.py``) are sorted, which lays them out as the
 depth-first walk of a trie: from one word to the next only the characters after the common
-prefix are new, and the forward scores of the prefix are those already on the stack.  The encoding is the segmentation
-of greatest total piece score; a character without a piece becomes its UTF-8 bytes.
+prefix are new, and the forward states of the prefix are those already on the stack.
+
+What a state is depends on how the model was trained.  For a unigram model it is the greatest total score of a
+segmentation of the prefix.  For a merge model it is the last piece of the prefix's encoding: a piece can follow another one
+only if merging the two texts together leaves both as they are, and of the pieces that end a prefix exactly one
+can follow the state where it begins.  So one forward pass finds the ids that the merges give.  A character
+without a piece becomes its UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -23,9 +28,20 @@ from graphmem.llm import textarrays as ta
 
 #: What a character without a piece costs below the least piece score.
 UNKNOWN_PENALTY = 10.0
+#: Pairs of pieces that a worker remembers.
+PAIRS = 1_000_000
 _loaded: dict[str, Codec] = {}
 
 
+def _model_type(path: str) -> str:
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:  # the tokenizer is a file of each machine
+        proto.ParseFromString(f.read())
+    return proto.trainer_spec.ModelType.Name(proto.trainer_spec.model_type)
+
+
 class Codec:
     """Pieces, scores and byte tokens of a .model file."""
 
@@ -37,6 +53,7 @@ class Codec:
         plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         mw.check_vocabulary([model.id_to_piece(i) for i in plain])
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
+        self.merges = _model_type(path) == "BPE"
         self.unknown, least = model.unk_id(), min(model.get_score(i) for i in plain)
         self.unknown_score = least - UNKNOWN_PENALTY
         #: Each ending of a piece, with the piece's score and id where it is a whole piece.
@@ -54,11 +71,75 @@ class Codec:
             spelled[i] = bytes([b])
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
         self.spelled_at = np.concatenate(([0], np.cumsum([len(x) for x in spelled])))
+        #: For merge models: whether a piece encodes as itself, and whether the second of two pieces can follow the first.
+        self.alone: dict[int, bool] = {}
+        self.follows: dict[int, bool] = {}
         #: By the hash of a marked word, its ids as 32-bit integers.
         self.known: dict[int, bytes] = {}
 
+    def merged(self, text: str) -> list[str]:
+        """The pieces that merging gives: the best pair first, the leftmost of equals."""
+        parts = list(text)
+        while True:
+            best, at = None, -1
+            for k in range(len(parts) - 1):
+                if (hit := self.endings.get(parts[k] + parts[k + 1])) and (best is None or hit[0] > best):
+                    best, at = hit[0], k
+            if best is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def _can_follow(self, before: str, piece: str, ids: int, own: int) -> bool:
+        """``ids``: the numbers of both pieces in one; ``own``: that of the second."""
+        if (ok := self.alone.get(own)) is None:
+            ok = self.alone[own] = self.merged(piece) == [piece]
+        if not ok or not before:
+            return ok
+        if (ok := self.follows.get(ids)) is None:
+            if len(self.follows) >= PAIRS:
+                self.follows.clear()
+            ok = self.follows[ids] = self.merged(before + piece) == [before, piece]
+        return ok
+
     def encode_sorted(self, texts: list[str]) -> list[list[int]]:
         """The ids of each of the sorted marked words."""
+        return self._by_merges(texts) if self.merges else self._by_score(texts)
+
+    def _by_merges(self, texts: list[str]) -> list[list[int]]:
+        back, last, out = [(0, -1)], "", []
+        find, missing, follows = self.endings.get, (), self.follows
+        for text in texts:
+            n = len(os.path.commonprefix((last, text)))
+            del back[n + 1 :]
+            for j in range(n + 1, len(text) + 1):
+                how = None
+                for i in range(j - 1, -1, -1):
+                    hit = find(text[i:j], missing)
+                    if hit is missing:
+                        break
+                    if hit is not None:
+                        start, before = back[i]
+                        if before < 0:  # nothing, or a character without a piece, which nothing merges with
+                            ok = self._can_follow("", text[i:j], -1, hit[1])
+                        elif (ok := follows.get(ids := before << 24 | hit[1])) is None:
+                            ok = self._can_follow(text[start:i], text[i:j], ids, hit[1])
+                        if ok:
+                            how = (i, hit[1])
+                            break
+                back.append(how or (j - 1, -1))
+            out.append(self._ids(text, back))
+            last = text
+        return out
+
+    def _ids(self, text: str, back: list[tuple[int, int]]) -> list[int]:
+        ids, j = [], len(text)
+        while j:
+            i, piece = back[j]
+            ids.extend((piece,) if piece >= 0 else [self.bytes.get(b, self.unknown) for b in reversed(text[i:j].encode())])
+            j = i
+        return ids[::-1]
+
+    def _by_score(self, texts: list[str]) -> list[list[int]]:
         score, back, last = [0.0], [(0, 0)], ""
         find, missing, out = self.endings.get, (), []
         for text in texts:
@@ -78,12 +159,7 @@ class Codec:
                     best, how = s, (j - 1, -1)
                 score.append(best)
                 back.append(how)
-            ids, j = [], len(text)
-            while j:
-                i, piece = back[j]
-                ids.extend((piece,) if piece >= 0 else [self.bytes.get(b, self.unknown) for b in reversed(text[i:j].encode())])
-                j = i
-            out.append(ids[::-1])
+            out.append(self._ids(text, back))
             last = text
         return out
 

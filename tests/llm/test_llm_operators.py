@@ -244,6 +244,17 @@ def test_token_counts_of_another_library(spark):
     assert [r["n_tokens"] for r in token_counts(table(spark, texts), path).orderBy("doc_id").collect()] == [len(model.encode(t or "", add_special_tokens=False).ids) for t in texts]
 
 
+def test_ids_are_those_of_the_library(spark):
+    import sentencepiece
+
+    from graphmem.llm.sentencepiece_codec import encode
+
+    texts = [*odd_texts(2000, 4), None, "unbelievable thereupon", " " * 17 + "x", "def f(self):\n        return {'a': 1}"]
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    got = {r["doc_id"]: r for r in encode(table(spark, texts), MODEL, verify_col="same").collect()}
+    assert all(got[k]["piece_ids"] == model.encode(t or "") and got[k]["same"] for k, t in enumerate(texts))
+
+
 def test_viterbi_is_best_and_round_trips(spark):
     from graphmem.llm.sentencepiece_codec import codec, decode, encode
 
@@ -266,7 +277,7 @@ def test_viterbi_is_best_and_round_trips(spark):
 
     scores = {piece: hit[0] for piece, hit in own.endings.items() if hit}
     sample = sorted({" " + w for t in odd_texts(80, 9)[:80] for w in t.replace("▁", " ").split(" ") if "\n" not in w} | {" thereupon", " unbelievable", " the"})
-    for word, ids in zip(sample, own.encode_sorted(sample), strict=True):
+    for word, ids in zip(sample, own._by_score(sample), strict=True):
         total, k = 0.0, 0
         while k < len(ids):
             piece = own.spelled[own.spelled_at[ids[k]] : own.spelled_at[ids[k] + 1]].tobytes()
