@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphmem.functions import hashed, text, vector
-from graphmem.sources.scratch import written
+from graphmem.sources.scratch import discard, written
 
 LEAST_JACCARD, OVERLAP_COSINE = 0.9, 0.6
 
@@ -85,6 +85,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jumped = least.join(least.select(F.col("x").alias("root"), F.col("root").alias("above")), "root").select("x", F.least("root", "above").alias("root"))
         after = written(jumped, "labels")
         moved = after.join(labels.withColumnRenamed("root", "was"), "x").where("root <> was").limit(1).count()
+        discard(labels)
         labels = after
         if not moved:
             return labels.select(F.col("x").alias("uuid"), "root")

@@ -13,4 +13,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/graphmem"
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table behind a DataFrame of ``written``, once nothing reads it any more."""
+    if path := getattr(df, "_written_path", None):
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
