@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmem.llm import decontaminate, jaccard_join, sentencepiece_codec, substring_dedup, toxicity
-from graphmem.llm.shared import written
+from graphmem.llm.shared import discard, written
 
 TOXIC, SHINGLE, SIMILAR, PASSAGE, LEAK = 0.5, 5, 80, 30, 10
 TOKENIZER = "piece_bpe_32k.model"
@@ -62,5 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return docs
