@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -202,8 +202,8 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str
         return sketch.send(layout, table.column("grp")[0].as_py() if table.num_rows else -1, keys)
 
     def rows(table: pa.Table, replies: pa.Table) -> pa.Table:
-        chosen = replies.filter(pa.compute.is_valid(replies.column("copies")))
-        answers = replies.filter(pa.compute.is_null(replies.column("copies")))
+        chosen = replies.filter(pc.is_valid(replies.column("copies")))
+        answers = replies.filter(pc.is_null(replies.column("copies")))
         own, copies = _chosen(table, chosen)
         return _rows(own, copies, layout, answers, size, percent)
 
