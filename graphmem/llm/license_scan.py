@@ -1,12 +1,17 @@
 """License scans with DataFrame functions only.
 
-Ordered signature rules run over the words of a text joined by single spaces.  A rule runs only where its
-keywords are among the text's words.  Each match is an interval with a priority; one that lies inside an interval of at
+Ordered signature rules run over the words of a text joined by single spaces.  A rule runs only where all words that one
+of its spellings cannot do without are among the text's words (``needs``); they come from the pattern itself, so no match is lost.  Each match is an interval with a priority; one that lies inside an interval of at
 least its priority is suppressed.  All of it is one narrow projection of a row: no join, no shuffle.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+from re import _constants as ops
+from re import _parser as parser
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,19 +176,62 @@ Rule = tuple[str, str, str, str, int, float]
 
 
 def rules() -> list[Rule]:
-    """``label, keyword, keyword, pattern, priority, confidence``, in order: whole sentences, then each name in each form."""
+    """``label, keyword, keyword, pattern, priority, confidence``, in order: whole sentences, then each name in each form.
+
+    The keywords only describe a rule; what a text must have for it to run is read off its pattern.
+    """
     out = [(label, a, b, text, int(priority), float(sure)) for label, a, b, text, priority, sure in TEXTS]
     return out + [(label, key, own, form.replace("NAME", name), priority, sure) for label, key, name in NAMES for own, form, priority, sure in FORMS]
 
 
+#: Any characters, none or spaces included: what it touches is no known word.
+_ANY = "\0"
+#: Words too common to tell texts apart; numbers are left out with them.
+_COMMON = set("a an and any are as be by for in is it not of or the this to use with you".split())
+
+
+def _spellings(parsed: list, most: int = 20_000) -> set[str]:
+    """All strings a parsed pattern matches, ``_ANY`` where they are not worth spelling out."""
+    out = {""}
+    for op, arg in parsed:
+        if op is ops.LITERAL:
+            part = {chr(arg)}
+        elif op is ops.IN and all(o is ops.LITERAL for o, _ in arg):
+            part = {chr(c) for _, c in arg}
+        elif op is ops.BRANCH:
+            part = set().union(*(_spellings(x) for x in arg[1]))
+        elif op is ops.SUBPATTERN and not arg[1] and not arg[2]:
+            part = _spellings(arg[3])
+        elif op in (ops.MAX_REPEAT, ops.MIN_REPEAT):
+            low, high, each = arg[0], arg[1], _spellings(arg[2])
+            counts = range(low, high + 1) if high <= 2 else [low]
+            part = {"".join(x) for k in counts for x in itertools.product(each, repeat=k)} if len(each) ** counts[-1] <= most else {_ANY}
+            part |= {x + _ANY for x in part} if high > 2 else set()
+        else:
+            part = {_ANY}
+        out = {a + b for a in out for b in part} if len(out) * len(part) <= most else {a + _ANY for a in out}
+    return out
+
+
+@functools.cache
+def needs(pattern: str) -> list[list[str]]:
+    """Sets of words: every match of the pattern has all the words of one of them.  An empty set: a match may have any words."""
+    each = {frozenset(w for w in s.split(" ") if w and _ANY not in w) for s in _spellings(parser.parse(pattern))}
+    telling = {frozenset(w for w in s if w not in _COMMON and not w.isdecimal()) or s for s in each}
+    least = [s for s in telling if not any(o < s for o in telling)]
+    return sorted(sorted(s, key=lambda w: (-len(w), w)) for s in least)
+
+
 def _quoted(x: object) -> str:
+    if isinstance(x, list):
+        return f"array({', '.join(map(_quoted, x))})" if x else "cast(array() as array<string>)"
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else f"{x}D" if isinstance(x, float) else str(x)
 
 
 def _rule_array(found: list[Rule]) -> Column:
-    named = ("label", "key", "own", "pattern", "priority", "sure")
+    named = ("label", "needs", "pattern", "priority", "sure")
     structs = (
-        "named_struct(" + ", ".join(f"'{k}', {_quoted(v)}" for k, v in zip(named, (r[0], r[1], r[2], f"(?<= )(?:{r[3]})(?= )", r[4], r[5]), strict=True)) + ")"
+        "named_struct(" + ", ".join(f"'{k}', {_quoted(v)}" for k, v in zip(named, (r[0], needs(r[3]), f"(?<= )(?:{r[3]})(?= )", r[4], r[5]), strict=True)) + ")"
         for r in found
     )
     return F.expr(f"array({', '.join(structs)})")
@@ -191,7 +239,7 @@ def _rule_array(found: list[Rule]) -> Column:
 
 _NONE = "cast(array() as array<struct<lo: int, hi: int, priority: int, label: string, sure: double>>)"
 #: The intervals of a rule's matches: lengths of what stands between the matches and of the matches, added up.
-_MATCHES = f"""flatten(transform(filter(rules, r -> array_contains(present, r.key) and array_contains(present, r.own)), r ->
+_MATCHES = f"""flatten(transform(filter(rules, r -> exists(r.needs, s -> forall(s, k -> array_contains(present, k)))), r ->
     aggregate(zip_with(slice(split(joined, r.pattern, -1), 1, size(regexp_extract_all(joined, r.pattern, 0))), regexp_extract_all(joined, r.pattern, 0), (g, h) -> struct(g as gap, h as hit)),
         named_struct('at', 0, 'out', {_NONE}),
         (s, x) -> named_struct('at', s.at + length(x.gap) + length(x.hit), 'out', concat(s.out, array(named_struct('lo', s.at + length(x.gap), 'hi', s.at + length(x.gap) + length(x.hit), 'priority', r.priority, 'label', r.label, 'sure', r.sure)))),
@@ -215,7 +263,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null or empty text has no words and nothing is found.  Ids may be null or repeat; other columns are not read.
     """
     table = rules() if found is None else found
-    keys = sorted({k for r in table for k in r[1:3]} | {w for phrase in BASE for w in phrase})
+    keys = sorted({k for r in table for s in needs(r[3]) for k in s} | {w for phrase in BASE for w in phrase})
     # Spaces at both ends, so that every word of a match has one on each side.
     rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
     rows = rows.select("doc_id", "w", F.array_intersect("w", F.array(*map(F.lit, keys))).alias("present"))
