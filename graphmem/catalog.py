@@ -653,6 +653,11 @@ def normalize_names(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.normalize_exact(name).alias("exact"), text.normalize_fuzzy(name).alias("fuzzy"))
 
 
+@query(f"select doc_id, {EXACT.format('text')} as exact, {FUZZY.format('text')} as fuzzy from documents")
+def normalize_texts(t: Tables) -> DataFrame:
+    """``normalize_names`` over whole texts."""
+    return t.documents.select("doc_id", text.normalize_exact(F.col("text")).alias("exact"), text.normalize_fuzzy(F.col("text")).alias("fuzzy"))
+
 @query(r"""select doc_id, case when length(text) <= 1000 then text else rtrim(case when regexp_extract(text[1:1000], '(?s)^(.*[.!?])(?:\s|$)', 1) <> '' then regexp_extract(text[1:1000], '(?s)^(.*[.!?])(?:\s|$)', 1) else text[1:1000] end) end as short from documents""")
 def truncate_sentence(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.truncate_at_sentence(F.col("text")).alias("short"))
