@@ -486,9 +486,22 @@ def contradiction_timeline(t: Tables) -> DataFrame:
     select new_uuid, old_uuid, case when not coalesce(old_invalid <= new_valid, false) and old_valid < new_valid then {TIME.format('new_valid')} else {TIME.format('old_invalid')} end as invalid_at,
         case when not coalesce(old_invalid <= new_valid, false) and old_valid < new_valid then '{NOW}' end as expired_at from pair""")
 def contradiction_pairs(t: Tables) -> DataFrame:
+    return _contradiction_pairs(t, "event_id < 300")
+
+
+@query(f"""with pair as (select 'ev:' || a.event_id as new_uuid, 'ev:' || b.event_id as old_uuid, a.ts as new_valid, b.ts as old_valid, case when b.event_id % 3 = 0 then b.ts + to_minutes(60) end as old_invalid
+    from events a join events b using (user_id) where a.event_id <> b.event_id)
+    select new_uuid, old_uuid, case when not coalesce(old_invalid <= new_valid, false) and old_valid < new_valid then {TIME.format('new_valid')} else {TIME.format('old_invalid')} end as invalid_at,
+        case when not coalesce(old_invalid <= new_valid, false) and old_valid < new_valid then '{NOW}' end as expired_at from pair""")
+def contradiction_pairs_whole(t: Tables) -> DataFrame:
+    """Each event as a new fact; the answer is a row for each pair of a user's events, so the join is its size."""
+    return _contradiction_pairs(t, "true")
+
+
+def _contradiction_pairs(t: Tables, which: str) -> DataFrame:
     f = t.events.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     old = f.select("user_id", F.col("event_id").alias("old_id"), F.col("ts").alias("old_valid"), F.when(F.col("event_id") % 3 == 0, F.col("ts") + F.expr("interval 60 minutes")).alias("old_invalid"), F.lit(None).cast("timestamp").alias("old_expired"))
-    new = f.where("event_id < 300").select("user_id", "event_id", F.col("ts").alias("new_valid"), F.lit(None).cast("timestamp").alias("new_invalid"))
+    new = f.where(which).select("user_id", "event_id", F.col("ts").alias("new_valid"), F.lit(None).cast("timestamp").alias("new_invalid"))
     pairs = new.join(old, "user_id").where("event_id <> old_id")
     closed = temporal.close_contradicted(pairs, F.lit(NOW).cast("timestamp"))
     return closed.select(F.concat(F.lit("ev:"), F.col("event_id").cast("string")).alias("new_uuid"), F.concat(F.lit("ev:"), F.col("old_id").cast("string")).alias("old_uuid"), _time("invalid_at").alias("invalid_at"), _time("expired_at").alias("expired_at"))
@@ -503,6 +516,13 @@ def expire_new_edge(t: Tables) -> DataFrame:
     return temporal.expire_new(new, later, F.lit(NOW).cast("timestamp")).select("uuid", _time("invalid_at").alias("invalid_at"), _time("expired_at").alias("expired_at"))
 
 
+@query(f"""select 'ev:' || a.event_id as uuid, {TIME.format('min(b.ts)')} as invalid_at, case when min(b.ts) is not null then '{NOW}' end as expired_at
+    from events a left join events b on a.user_id = b.user_id and b.ts > a.ts group by a.event_id""")
+def expire_new_edge_whole(t: Tables) -> DataFrame:
+    """Each event as a new edge: the next distinct time of its user, in one window."""
+    return _history(t).select("uuid", _time("invalid_at").alias("invalid_at"), _time("expired_at").alias("expired_at"))
+
+
 @query(f"with {HISTORY}, mid as (select max(ts) - (max(ts) - min(ts)) / 2 as m, date_trunc('day', to_timestamp((epoch(max(ts)) + epoch(min(ts))) / 2)::timestamp) as d from events) select uuid, source, fact from history, mid where valid_at <= d and (invalid_at is null or invalid_at > d)")
 def point_in_time_facts(t: Tables) -> DataFrame:
     span = t.events.agg(((F.unix_micros(F.max(F.col("ts").cast("timestamp"))) + F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 2e6).alias("m")).first()
@@ -577,14 +597,20 @@ def resolve_with_similarity(t: Tables) -> DataFrame:
 ALIAS = "alias as (select distinct 'c:' || o_custkey as a, 'k:' || (o_orderkey % 97) || ':' || (o_custkey % 7) as b from orders where o_orderkey % 5 = 0)"
 
 
-def _aliases(t: Tables) -> DataFrame:
+def _aliases(t: Tables, which: str = "true") -> DataFrame:
     b = F.concat(F.lit("k:"), (F.col("o_orderkey") % 97).cast("string"), F.lit(":"), (F.col("o_custkey") % 7).cast("string"))
-    return t.orders.where("o_orderkey % 5 = 0").select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("a"), b.alias("b")).distinct()
+    return t.orders.where(which).select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("a"), b.alias("b")).distinct()
 
 
 @query(f"""with recursive {ALIAS}, link as (select a as x, b as y from alias union select b, a from alias), reach(x, y) as (select x, x from link union select reach.x, link.y from reach join link on reach.y = link.x)
     select x as uuid, min(y) as root from reach group by x""")
 def uuid_closure_min_root(t: Tables) -> DataFrame:
+    return dedup.components(_aliases(t, "o_orderkey % 5 = 0"))
+
+
+@query()
+def uuid_closure_min_root_whole(t: Tables) -> DataFrame:
+    """Of the aliases of all orders.  The recursive SQL has the square of a component as rows; the tests hold it against a loop."""
     return dedup.components(_aliases(t))
 
 
@@ -597,8 +623,17 @@ def uuid_closure_directed(t: Tables) -> DataFrame:
 
 @query(f"with {EDGES}, map as (select 'c:' || c_custkey as u, 'x:' || (c_custkey // 2) as r from customer where c_custkey % 2 = 1) select uuid, coalesce(a.r, source) as source, coalesce(b.r, target) as target from edge left join map a on a.u = source left join map b on b.u = target where name <> 'ORDERED_FROM'")
 def pointer_remap(t: Tables) -> DataFrame:
+    return _remapped(t, views.place_edges(t))
+
+
+@query(f"with {EDGES}, map as (select 'c:' || c_custkey as u, 'x:' || (c_custkey // 2) as r from customer where c_custkey % 2 = 1) select uuid, coalesce(a.r, source) as source, coalesce(b.r, target) as target from edge left join map a on a.u = source left join map b on b.u = target")
+def pointer_remap_whole(t: Tables) -> DataFrame:
+    return _remapped(t, views.entity_edge(t))
+
+
+def _remapped(t: Tables, edges: DataFrame) -> DataFrame:
     mapping = t.customer.where("c_custkey % 2 = 1").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("uuid"), F.concat(F.lit("x:"), F.expr("c_custkey div 2").cast("string")).alias("root"))
-    moved = dedup.remap(views.place_edges(t), mapping, "source_node_uuid", "target_node_uuid")
+    moved = dedup.remap(edges, mapping, "source_node_uuid", "target_node_uuid")
     return moved.select("uuid", F.col("source_node_uuid").alias("source"), F.col("target_node_uuid").alias("target"))
 
 
@@ -607,8 +642,21 @@ def pointer_remap(t: Tables) -> DataFrame:
     select a.uuid, b.uuid as other from w a join w b on a.user_id = b.user_id and a.uuid <> b.uuid
     where len(list_intersect(a.w, b.w)) > 0 or coalesce(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) >= 0.6, false)""")
 def edge_candidate_gate(t: Tables) -> DataFrame:
+    return _gated(t, "event_id < 1500")
+
+
+@query(f"""with e as (select 'ev:' || event_id as uuid, user_id, event_type || ' ' || (event_id % 5) as fact, embedding from events left join embeddings on vec_id = event_id),
+    w as (select *, string_split(lower(fact), ' ') as w from e)
+    select a.uuid, b.uuid as other from w a join w b on a.user_id = b.user_id and a.uuid <> b.uuid
+    where len(list_intersect(a.w, b.w)) > 0 or coalesce(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])) >= 0.6, false)""")
+def edge_candidate_gate_whole(t: Tables) -> DataFrame:
+    """All events; the answer is a row for each pair of a user's events that passes."""
+    return _gated(t, "true")
+
+
+def _gated(t: Tables, which: str) -> DataFrame:
     vectors = t.embeddings.select(F.col("vec_id").alias("event_id"), F.col("embedding").alias("fact_embedding"))
-    rows = t.events.where("event_id < 1500").join(vectors, "event_id", "left")
+    rows = t.events.where(which).join(vectors, "event_id", "left")
     fact = F.concat("event_type", F.lit(" "), (F.col("event_id") % 5).cast("string"))
     edges = rows.select(F.concat(F.lit("ev:"), F.col("event_id").cast("string")).alias("uuid"), F.col("user_id").alias("source_node_uuid"), F.lit("state").alias("target_node_uuid"), fact.alias("fact"), "fact_embedding")
     return dedup.edge_candidates(edges)
