@@ -197,6 +197,16 @@ def node_candidates(t: Tables) -> DataFrame:
     return similarity.candidates(asked, v, "name_embedding", 15, 0.15).select("query_uuid", "uuid", "rank", F.round("score", 6).alias("score"))
 
 
+@query(f"""with {VECTORS}, pair as (select q.uuid as query_uuid, v.uuid, list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])) as score
+    from vec q join vec v using (group_id) where cast(q.uuid[3:] as bigint) % 100 = 0)
+    select query_uuid, uuid, cast(rank as int) as rank, round(score, 6) as score from (select *, row_number() over (partition by query_uuid order by score desc, uuid) as rank from pair where score > 0.15) where rank <= 15""")
+def node_candidates_batch(t: Tables) -> DataFrame:
+    """``node_candidates`` for every embedding whose number 100 divides, against all rows of its group in 16 blocks."""
+    v = views.vectors(t)
+    asked = v.where("bigint(substring(uuid, 3)) % 100 = 0").select(F.col("uuid").alias("query_uuid"), "group_id", F.col("name_embedding").alias("vector"))
+    return similarity.candidates(asked, v, "name_embedding", 15, 0.15, 16).select("query_uuid", "uuid", "rank", F.round("score", 6).alias("score"))
+
+
 @query(f"with {PASSAGES}, {_bm25_sql('hit', 'passage', 'fact', WORDS, 20)} select uuid, round(score, 6) as score from hit")
 def bm25_documents_topk(t: Tables) -> DataFrame:
     return fulltext.bm25(views.passages(t), F.col("fact"), WORDS, 20).select("uuid", F.round("score", 6).alias("score"))

@@ -73,3 +73,17 @@ def test_closures_whole(spark, tmp_path):
 def test_pointer_remap_whole(spark, small):
     got = catalog.QUERIES["pointer_remap_whole"](spark, small).collect()
     assert any(r["uuid"].startswith("ord:") and r["source"].startswith("x:") for r in got)
+
+
+def test_node_candidates_batch(spark, tmp_path):
+    """Queries grow with the table, and blocks change nothing."""
+    rows = [(i, [float(i * 7 % 11 - 5), float(i * 3 % 13 - 6), 1.0], i // 50 % 2) for i in range(1000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["query_uuid"], r["rank"]): (r["uuid"], r["score"]) for r in catalog.QUERIES["node_candidates_batch"](spark, str(tmp_path)).collect()}
+    cosine = lambda v, w: sum(p * q for p, q in zip(v, w, strict=True)) / (sum(p * p for p in v) * sum(q * q for q in w)) ** 0.5
+    want = {}
+    for i, v, label in rows[::100]:
+        near = sorted((-round(cosine(v, w), 9), f"v:{k}") for k, w, own in rows if own == label and cosine(v, w) > 0.15)[:15]
+        want |= {(f"v:{i}", k + 1): (u, round(-c, 6)) for k, (c, u) in enumerate(near)}
+    assert {q for q, _ in got} == {f"v:{i}" for i in range(0, 1000, 100)}
+    assert {k: c for k, (_, c) in got.items()} == {k: c for k, (_, c) in want.items()}
