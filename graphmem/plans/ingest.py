@@ -59,8 +59,8 @@ def resolve_nodes(extracted: DataFrame, had: DataFrame, now: Column, types: list
 def resolve_edges(extracted: DataFrame, names: DataFrame, had: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Edges of the batch as they are to be saved, and those of the graph that they close.
 
-    A fact that the graph or the batch has gains an episode; a new one of the same pair and relation closes the older ones by
-    the rules of time, set by set.
+    A fact that the graph or the batch has gains an episode; a new one of the same group, source and relation closes the older ones,
+    whatever their targets, by the rules of time, set by set.  No model decides on duplicates or contradictions.
     """
     for side in ("source", "target"):
         one = names.select("episode_uuid", F.col("name").alias(side), F.col("uuid").alias(f"{side}_node_uuid"))
