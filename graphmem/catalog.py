@@ -414,7 +414,7 @@ def adjacency_projection(t: Tables) -> DataFrame:
 @query()
 def label_propagation_clusters(t: Tables) -> DataFrame:
     """Labels by explicit rounds; the tests hold it against a loop over dictionaries."""
-    return community.clusters(community.label_propagation(traverse.adjacency(views.entity(t), views.entity_edge(t)), 20))
+    return community.clusters(community.label_propagation(traverse.adjacency(views.entity(t), views.entity_edge(t))))
 
 
 MEMBERS = "member as (select 'com:' || s_nationkey as com, 's:' || s_suppkey as node from supplier where s_suppkey % 2 = 0)"

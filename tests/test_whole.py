@@ -87,3 +87,40 @@ def test_node_candidates_batch(spark, tmp_path):
         want |= {(f"v:{i}", k + 1): (u, round(-c, 6)) for k, (c, u) in enumerate(near)}
     assert {q for q, _ in got} == {f"v:{i}" for i in range(0, 1000, 100)}
     assert {k: c for k, (_, c) in got.items()} == {k: c for k, (_, c) in want.items()}
+
+
+def propagated(rows):
+    """``(group, smallest member, member)`` of the clusters of ``(group, node, neighbor, edge count)``, by a loop."""
+    label, links = {}, {}
+    for g in {r[0] for r in rows}:
+        label |= {(g, u): k for k, u in enumerate(sorted({r[1] for r in rows if r[0] == g}))}
+    for g, a, b, n in rows:
+        if b is not None:
+            links.setdefault((g, a), []).append(((g, b), n))
+    while True:
+        after = {}
+        for node, own in label.items():
+            votes = {}
+            for other, n in links.get(node, []):
+                votes[label[other]] = votes.get(label[other], 0) + n
+            n, theirs = max(((n, x) for x, n in votes.items()), default=(2, own))
+            after[node] = theirs if n > 1 else max(theirs, own)
+        if after == label:
+            break
+        label = after
+    least = {}
+    for (g, u), x in label.items():
+        least[g, x] = min(least.get((g, x), u), u)
+    return {(g, least[g, x], u) for (g, u), x in label.items()}
+
+
+def test_label_propagation_settles(spark, small, monkeypatch):
+    """The test tables, and a path that takes 25 rounds."""
+    own = [tuple(r) for r in catalog.QUERIES["adjacency_projection"](spark, small).select("group_id", "node_uuid", "neighbor_uuid", "edge_count").collect()]
+    got = catalog.QUERIES["label_propagation_clusters"](spark, small).collect()
+    assert {tuple(r) for r in got} == propagated(own)
+    path = [("g", f"n{a:02}", f"n{b:02}", 1) for a in range(26) for b in (a - 1, a + 1) if 0 <= b < 26]
+    monkeypatch.setattr(catalog.traverse, "adjacency", lambda *_: spark.createDataFrame(path, "group_id string, node_uuid string, neighbor_uuid string, edge_count long"))
+    got = catalog.QUERIES["label_propagation_clusters"](spark, small).collect()
+    assert {tuple(r) for r in got} == propagated(path)
+    assert len({r["uuid"] for r in got}) == 1
