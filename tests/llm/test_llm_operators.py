@@ -412,8 +412,8 @@ def test_licenses_need_no_keyword(spark):
     """All regexes on every text, without a gate: phrases that lack a rule's keywords, and spellings of all rules."""
     from graphmem.llm.license_scan import BASE, _spellings, license_scan, needs, parser, rules
 
-    texts = """licence MIT|licensed under the Expat license|license 0BSD|license MS-PL|released under MS-RL|license PSF license|license open rail|license beer ware|for non-commercial use only
-        for noncommercial purposes only|registered trademarks of|license Creative Commons Attribution-Non-Commercial|license Creative Commons Attribution Share Alike|license Creative Commons Attribution NoDerivs
+    texts = """licence MIT|licensed under the Expat license|license 0BSD|license MS-PL|released under MS-RL|license PSF license|license open rail|license beer ware|for non-commercial use only|
+        for noncommercial purposes only|registered trademarks of|license Creative Commons Attribution-Non-Commercial|license Creative Commons Attribution Share Alike|license Creative Commons Attribution NoDerivs|
         gnu general public license v3|license eupl1 2|unauthorized copying of this file by any means is strictly prohibited|\u2028licence\u00a0mit licence mit""".split("|")
     found, rng = rules(), random.Random(10)
     for r in found:
