@@ -1,14 +1,17 @@
 """License scans with DataFrame functions only.
 
 Ordered signature rules run over the words of a text joined by single spaces.  A rule runs only where all words that one
-of its spellings cannot do without are among the text's words (``needs``); they come from the pattern itself, so no match is lost.  Each match is an interval with a priority; one that lies inside an interval of at
-least its priority is suppressed.  All of it is one narrow projection of a row: no join, no shuffle.
+of its spellings cannot do without are among the text's words (``needs``); they come from the pattern itself, so no match is lost.
+Each word carries its number behind a tilde, which no word holds, so one pass of a rule's regex tells where its matches begin and
+end, and nothing is added up.  Each match is an interval of words with a priority; one that lies inside an interval of at
+least its priority is suppressed.  All of it is one narrow projection of a row: no join, no shuffle, and time in proportion to a text and its matches.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+from collections.abc import Sequence
 from re import _constants as ops
 from re import _parser as parser
 
@@ -20,168 +23,306 @@ from graphmem.llm.plainwords import words
 #: Phrases that are looked for word by word, and their labels.
 BASE = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
 
-#: License, a word that every mention has, and its name as a regular expression over words.
-NAMES = [line.split(" | ") for line in r"""
-apache-2.0 | apache | apache(?: software)? license(?: version)? 2(?: 0)?|apache 2(?: 0)?(?: license)?
-apache-1.1 | apache | apache(?: software)? license(?: version)? 1 1|apache 1 1
-apache-1.0 | apache | apache(?: software)? license(?: version)? 1 0|apache 1 0
-mit | mit | (?:the )?mit(?: x11)?(?: license)?|expat(?: license)?
-mit-0 | mit | mit no attribution|mit 0
-x11 | x11 | x11(?: license)?
-isc | isc | isc(?: license)?
-bsd-2-clause | bsd | (?:simplified |freebsd )bsd(?: license)?|bsd 2 clause(?: license)?|2 clause bsd(?: license)?|two clause bsd(?: license)?
-bsd-3-clause | bsd | (?:new |modified |revised )bsd(?: license)?|bsd 3 clause(?: license)?|3 clause bsd(?: license)?|three clause bsd(?: license)?
-bsd-4-clause | bsd | (?:original |old )bsd(?: license)?|bsd 4 clause(?: license)?|4 clause bsd(?: license)?|four clause bsd(?: license)?
-bsd-0-clause | bsd | (?:zero clause |0 clause )bsd(?: license)?|0bsd
-gpl-1.0 | gpl | gnu gpl(?: version)? v?1(?: 0)?|gpl v?1(?: 0)?(?: only| or later)?
-gpl-2.0 | gpl | gnu gpl(?: version)? v?2(?: 0)?|gpl v?2(?: 0)?(?: only| or later)?
-gpl-3.0 | gpl | gnu gpl(?: version)? v?3(?: 0)?|gpl v?3(?: 0)?(?: only| or later)?
-lgpl-2.0 | lgpl | (?:gnu )?lgpl(?: version)? v?2(?: 0)?(?: only| or later)?
-lgpl-2.1 | lgpl | (?:gnu )?lgpl(?: version)? v?2 1(?: only| or later)?
-lgpl-3.0 | lgpl | (?:gnu )?lgpl(?: version)? v?3(?: 0)?(?: only| or later)?
-agpl-3.0 | agpl | (?:gnu )?agpl(?: version)? v?3(?: 0)?(?: only| or later)?
-gpl-2.0 | gnu | gnu general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2(?: 0)?
-gpl-3.0 | gnu | gnu general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?3(?: 0)?
-lgpl-2.1 | lesser | gnu lesser general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2 1
-lgpl-3.0 | lesser | gnu lesser general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?3(?: 0)?
-agpl-3.0 | affero | gnu affero general public license(?: (?:version|v) ?3(?: 0)?)?
-gfdl | gnu | gnu free documentation license(?: version 1 [123])?
-mpl-1.1 | mozilla | mozilla public license(?: version)? 1 1
-mpl-2.0 | mozilla | mozilla public license(?: version| v)? 2(?: 0)?
-mpl-2.0 | mpl | mpl(?: v)? 2(?: 0)?
-epl-1.0 | eclipse | eclipse public license(?: version| v)? 1(?: 0)?
-epl-2.0 | eclipse | eclipse public license(?: version| v)? 2(?: 0)?
-edl-1.0 | eclipse | eclipse distribution license(?: version| v)? 1(?: 0)?
-cddl-1.0 | cddl | cddl(?: version| v)? 1(?: 0)?
-cddl-1.1 | cddl | cddl(?: version| v)? 1 1
-cddl-1.0 | distribution | common development and distribution license(?: version 1 0)?
-cpl-1.0 | common | common public license(?: version)? 1(?: 0)?
-ipl-1.0 | ibm | ibm public license(?: version)? 1(?: 0)?
-artistic-1.0 | artistic | artistic license(?: version)? 1(?: 0)?
-artistic-2.0 | artistic | artistic license(?: version)? 2(?: 0)?
-bsl-1.0 | boost | boost software license(?: version)? 1(?: 0)?
-zlib | zlib | zlib(?: libpng)?(?: license)?
-libpng | libpng | libpng license(?: version 2)?
-unlicense | unlicense | (?:the )?unlicense
-wtfpl | wtfpl | wtfpl(?: version 2)?
-cc0-1.0 | cc0 | (?:creative commons )?cc0(?: 1 0)?(?: universal)?
-cc-by-1.0 | cc | (?:creative commons )?cc by 1 0
-cc-by-2.0 | cc | (?:creative commons )?cc by 2 0
-cc-by-2.5 | cc | (?:creative commons )?cc by 2 5
-cc-by-3.0 | cc | (?:creative commons )?cc by 3 0
-cc-by-4.0 | cc | (?:creative commons )?cc by 4 0
-cc-by-sa-2.0 | cc | cc by sa 2 0
-cc-by-sa-2.5 | cc | cc by sa 2 5
-cc-by-sa-3.0 | cc | cc by sa 3 0
-cc-by-sa-4.0 | cc | cc by sa 4 0
-cc-by-nc-3.0 | cc | cc by nc 3 0
-cc-by-nc-4.0 | cc | cc by nc 4 0
-cc-by-nd-3.0 | cc | cc by nd 3 0
-cc-by-nd-4.0 | cc | cc by nd 4 0
-cc-by-nc-sa-3.0 | cc | cc by nc sa 3 0
-cc-by-nc-sa-4.0 | cc | cc by nc sa 4 0
-cc-by-nc-nd-3.0 | cc | cc by nc nd 3 0
-cc-by-nc-nd-4.0 | cc | cc by nc nd 4 0
-cc-by | attribution | creative commons attribution(?: (?:license|[1-4] [05])){0,2}
-cc-by-sa | sharealike | creative commons attribution share ?alike(?: (?:license|[1-4] [05])){0,2}
-cc-by-nc | noncommercial | creative commons attribution non ?commercial(?: (?:license|[1-4] [05])){0,2}
-cc-by-nd | noderivatives | creative commons attribution no ?deriv(?:ative)?s?(?: works)?(?: (?:license|[1-4] [05])){0,2}
-odbl-1.0 | database | open database license(?: v1 0| 1 0)?
-odc-by-1.0 | odc | odc by(?: 1 0)?
-pddl-1.0 | pddl | pddl(?: 1 0)?
-ofl-1.1 | sil | sil open font license(?: version)?(?: 1 1)?
-ofl-1.1 | ofl | ofl(?: version)? 1 1
-psf-2.0 | python | python software foundation license(?: version 2)?|psf license(?: version 2)?
-php-3.01 | php | php license(?: version)? 3 01
-ruby | ruby | ruby license
-postgresql | postgresql | postgresql license
-openssl | openssl | openssl license
-curl | curl | curl license
-ncsa | ncsa | (?:university of illinois )?ncsa(?: open source)?(?: license)?
-eupl-1.2 | eupl | eupl(?: version| v)? ?1 2
-eupl-1.1 | eupl | eupl(?: version| v)? ?1 1
-osl-3.0 | osl | osl(?: version| v)? ?3 0
-afl-3.0 | afl | afl(?: version| v)? ?3 0
-upl-1.0 | universal | universal permissive license(?: version)?(?: 1 0)?
-ms-pl | microsoft | microsoft public license|ms pl
-ms-rl | microsoft | microsoft reciprocal license|ms rl
-beerware | beerware | beer ?ware(?: license)?(?: revision 42)?
-json | json | json license
-vim | vim | vim license
-sspl-1.0 | sspl | sspl(?: version| v)? ?1(?: 0)?
-busl-1.1 | business | business source license(?: version)? 1 1
-elastic-2.0 | elastic | elastic license(?: version)? 2(?: 0)?
-bigscience-openrail-m | openrail | (?:bigscience |creativeml )?open ?rail(?: m)?(?: license)?
+#: License and its name as a regular expression over words; ``alone`` marks a word that means nothing else.
+NAMES = [(line + " | ").split(" | ")[:3] for line in r"""
+apache-2.0 | apache(?: software)? license(?: version)? 2(?: 0)?|apache 2(?: 0)?
+apache-1.1 | apache(?: software)? license(?: version)? 1 1|apache 1 1
+apache-1.0 | apache(?: software)? license(?: version)? 1 0|apache 1 0
+apache | apache(?: software)? license
+mit | (?:the )?mit(?: x11)?(?: license)?|expat(?: license)?
+mit-0 | mit no attribution|mit 0
+x11 | x11(?: license)?
+isc | isc(?: license)?
+bsd | bsd(?: style| type)?(?: license)?
+bsd-2-clause | (?:simplified |freebsd )bsd(?: license)?|bsd 2 clause(?: license)?|(?:2|two) clause bsd(?: license)?
+bsd-3-clause | (?:new |modified |revised )bsd(?: license)?|bsd 3 clause(?: license)?|(?:3|three) clause bsd(?: license)?
+bsd-4-clause | (?:original |old )bsd(?: license)?|bsd 4 clause(?: license)?|(?:4|four) clause bsd(?: license)?
+bsd-0-clause | (?:zero|0) clause bsd(?: license)?
+bsd-0-clause | 0bsd | alone
+gpl | (?:gnu )?gpl
+gpl-1.0 | (?:gnu )?gpl(?: version)? v?1(?: 0)?(?: only| or later)?
+gpl-2.0 | (?:gnu )?gpl(?: version)? v?2(?: 0)?(?: only| or later)?
+gpl-3.0 | (?:gnu )?gpl(?: version)? v?3(?: 0)?(?: only| or later)?
+gpl-2.0 | gplv2(?: only| or later)? | alone
+gpl-3.0 | gplv3(?: only| or later)? | alone
+lgpl | (?:gnu )?lgpl
+lgpl-2.0 | (?:gnu )?lgpl(?: version)? v?2(?: 0)?(?: only| or later)?
+lgpl-2.1 | (?:gnu )?lgpl(?: version)? v?2 1(?: only| or later)?
+lgpl-3.0 | (?:gnu )?lgpl(?: version)? v?3(?: 0)?(?: only| or later)?
+lgpl-2.1 | lgplv2 1(?: only| or later)? | alone
+lgpl-3.0 | lgplv3(?: only| or later)? | alone
+agpl | (?:gnu )?agpl
+agpl-3.0 | (?:gnu )?agpl(?: version)? v?3(?: 0)?(?: only| or later)?
+agpl-3.0 | agplv3(?: only| or later)? | alone
+gpl-2.0 | gnu general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2(?: 0)?
+gpl-3.0 | gnu general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?3(?: 0)?
+lgpl-2.1 | gnu lesser general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2 1
+lgpl-3.0 | gnu lesser general public license(?: as published by the free software foundation)?(?: either)? (?:version|v) ?3(?: 0)?
+agpl-3.0 | gnu affero general public license(?: (?:version|v) ?3(?: 0)?)?
+gfdl | gnu free documentation license(?: version 1 [123])?
+gfdl | gfdl(?: 1 [123])?
+mpl | mozilla public license|mpl license
+mpl-1.1 | mozilla public license(?: version)? 1 1|mpl(?: version| v)? 1 1
+mpl-2.0 | mozilla public license(?: version| v)? 2(?: 0)?|mpl(?: version| v)? 2(?: 0)?
+npl-1.1 | netscape public license(?: version)? 1 1
+epl-1.0 | eclipse public license(?: version| v)? 1(?: 0)?|epl 1 0
+epl-2.0 | eclipse public license(?: version| v)? 2(?: 0)?|epl 2 0
+edl-1.0 | eclipse distribution license(?: version| v)? 1(?: 0)?
+cddl-1.0 | cddl(?: version| v)? 1(?: 0)?|common development and distribution license(?: version 1 0)?
+cddl-1.1 | cddl(?: version| v)? 1 1
+cpl-1.0 | common public license(?: version)? 1(?: 0)?
+ipl-1.0 | ibm public license(?: version)? 1(?: 0)?
+artistic-1.0 | artistic license(?: version)? 1(?: 0)?
+artistic-2.0 | artistic license(?: version)? 2(?: 0)?
+artistic | artistic license
+bsl-1.0 | boost software license(?: version)? 1(?: 0)?|bsl 1 0
+zlib | zlib(?: libpng)?(?: license)?
+libpng | libpng license(?: version 2)?
+unlicense | (?:the )?unlicense | alone
+wtfpl | wtfpl(?: version 2)? | alone
+cc0-1.0 | (?:creative commons )?cc0(?: 1 0)?(?: universal)? | alone
+cc0-1.0 | creative commons zero(?: v?1 0)?(?: universal)?
+cc-by-1.0 | (?:creative commons )?cc by 1 0
+cc-by-2.0 | (?:creative commons )?cc by 2 0
+cc-by-2.5 | (?:creative commons )?cc by 2 5
+cc-by-3.0 | (?:creative commons )?cc by 3 0
+cc-by-4.0 | (?:creative commons )?cc by 4 0
+cc-by-sa-2.0 | cc by sa 2 0
+cc-by-sa-2.5 | cc by sa 2 5
+cc-by-sa-3.0 | cc by sa 3 0
+cc-by-sa-4.0 | cc by sa 4 0
+cc-by-nc-2.0 | cc by nc 2 0
+cc-by-nc-3.0 | cc by nc 3 0
+cc-by-nc-4.0 | cc by nc 4 0
+cc-by-nd-3.0 | cc by nd 3 0
+cc-by-nd-4.0 | cc by nd 4 0
+cc-by-nc-sa-3.0 | cc by nc sa 3 0
+cc-by-nc-sa-4.0 | cc by nc sa 4 0
+cc-by-nc-nd-3.0 | cc by nc nd 3 0
+cc-by-nc-nd-4.0 | cc by nc nd 4 0
+cc-by | creative commons attribution(?: (?:license|[1-4] [05])){0,2}
+cc-by-sa | creative commons attribution share ?alike(?: (?:license|[1-4] [05])){0,2}
+cc-by-nc | creative commons attribution non ?commercial(?: (?:license|[1-4] [05])){0,2}
+cc-by-nd | creative commons attribution no ?deriv(?:ative)?s?(?: works)?(?: (?:license|[1-4] [05])){0,2}
+cc-by-nc-sa | creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?
+cc-by-nc-nd | creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?(?: [1-4] [05])?
+odbl-1.0 | open database license(?: v1 0| 1 0)?|odbl(?: v1 0| 1 0)
+odc-by-1.0 | odc by(?: 1 0)?|open data commons attribution license
+pddl-1.0 | pddl(?: 1 0)?
+pddl-1.0 | public domain dedication and license
+cdla-permissive-2.0 | community data license agreement permissive(?: version)? 2 0|cdla permissive 2 0
+cdla-sharing-1.0 | community data license agreement sharing(?: version)? 1 0|cdla sharing 1 0
+ofl-1.1 | sil open font license(?: version)?(?: 1 1)?
+ofl-1.1 | ofl(?: version)? 1 1
+psf-2.0 | python software foundation license(?: version 2)?|psf license(?: version 2)?
+php-3.01 | php license(?: version)? 3 01
+ruby | ruby license
+postgresql | postgresql license
+openssl | openssl license
+curl | curl license
+ncsa | (?:university of illinois )?ncsa(?: open source)?(?: license)?
+eupl-1.2 | eupl(?: version| v)? ?1 2|european union public licen[cs]e(?: version)? 1 2
+eupl-1.1 | eupl(?: version| v)? ?1 1|european union public licen[cs]e(?: version)? 1 1
+cecill-2.1 | cecill(?: free software license agreement)?(?: version| v)? ?2 1
+osl-3.0 | osl(?: version| v)? ?3 0|open software license(?: version)? 3 0
+afl-3.0 | afl(?: version| v)? ?3 0|academic free license(?: version)? 3 0
+upl-1.0 | universal permissive license(?: version)?(?: 1 0)?
+ms-pl | microsoft public license|ms pl
+ms-rl | microsoft reciprocal license|ms rl
+beerware | beer ?ware(?: license)?(?: revision 42)?
+json | json license
+vim | vim license
+qpl-1.0 | q public license(?: version)?(?: 1 0)?
+sleepycat | sleepycat(?: public)? license
+w3c | w3c software(?: and document)?(?: notice and)? license
+ecl-2.0 | educational community license(?: version)? 2(?: 0)?
+ppl | peer production license
+hippocratic | hippocratic license(?: version)?(?: [123] [01])?
+blueoak-1.0.0 | blue oak model license(?: 1 0 0)?
+mulan-psl-2.0 | mulan(?: permissive software license|psl| psl) ?(?:version |v)?2
+sspl-1.0 | sspl(?: version| v)? ?1(?: 0)?|server side public license(?: version| v)?(?: ?1)?
+busl-1.1 | business source license(?: version)? 1 1
+elastic-2.0 | elastic license(?: version)? 2(?: 0)?
+commons-clause | commons clause(?: license)?(?: condition)?(?: v?1 0)?
+polyform | polyform (?:noncommercial|small business|strict|shield|perimeter) license(?: 1 0 0)?
+bigscience-openrail-m | (?:bigscience |creativeml )open ?rail(?: m)?(?: license)?
+bigscience-openrail-m | open ?rail(?: m)?(?: license)?
+llama-community | llama [23](?: [123])? community license(?: agreement)?
 """.strip().split("\n")]
 
-#: What a mention looks like around a name: a second keyword, the pattern, the priority, the confidence.
-FORMS = [
-    ("spdx", r"spdx license identifier (?:NAME)", 3, 0.99),
-    ("licensed", r"(?:is |are )?(?:dual )?licensed under (?:the )?(?:terms of (?:the )?)?(?:NAME)", 3, 0.97),
-    ("released", r"released under (?:the )?(?:terms of (?:the )?)?(?:NAME)", 3, 0.95),
-    ("license", r"(?:license|licence) (?:NAME)", 2, 0.9),
-    ("distributed", r"distributed under (?:the )?(?:terms of (?:the )?)?(?:NAME)", 2, 0.9),
-]
+#: What declares a license by name, and what may follow a name that stands on its own.
+DECLARED = r"(?:spdx license identifier |(?:licensed|released|distributed|available|provided|covered) under (?:the )?(?:terms of (?:the )?)?|licen[cs]e )"
+TITLE = "licen[cs]e"
 
-#: Sentences of license texts and notices: label, keyword, second keyword, pattern, priority, confidence.
+#: Sentences of license texts and notices: label, pattern, priority, confidence.
 TEXTS = [line.split(" | ") for line in r"""
-mit | permission | charge | permission is hereby granted free of charge to any person obtaining a copy of this software | 3 | 0.98
-mit | merchantability | noninfringement | fitness for a particular purpose and noninfringement | 2 | 0.6
-isc | permission | purpose | permission to use copy modify and or distribute this software for any purpose with or without fee | 3 | 0.97
-bsd | redistribution | binary | redistribution and use in source and binary forms with or without modification are permitted | 3 | 0.97
-bsd-3-clause | endorse | promote | may be used to endorse or promote products derived from this software | 3 | 0.9
-bsd-4-clause | advertising | acknowledgement | all advertising materials mentioning features or use of this software must display the following acknowledgement | 3 | 0.95
-apache-2.0 | apache | compliance | you may not use this file except in compliance with the license | 3 | 0.9
-apache-2.0 | apache | license | apache license version 2 0 january 2004 | 3 | 0.99
-gpl | redistribute | modify | you can redistribute it and or modify it under the terms of the gnu(?: lesser| affero)? general public license | 3 | 0.97
-gpl | warranty | merchantability | without even the implied warranty of merchantability or fitness for a particular purpose | 2 | 0.7
-gpl | gnu | copy | you should have received a copy of the gnu(?: lesser| affero)? general public license | 3 | 0.95
-gpl | gnu | license | gnu general public license | 2 | 0.9
-lgpl | lesser | license | gnu lesser general public license | 3 | 0.9
-lgpl | library | license | gnu library general public license | 3 | 0.9
-agpl | affero | license | affero general public license | 3 | 0.9
-mpl-2.0 | mozilla | license | this source code form is subject to the terms of the mozilla public license | 3 | 0.97
-epl | eclipse | license | eclipse public license | 2 | 0.85
-unlicense | unencumbered | domain | this is free and unencumbered software released into the public domain | 3 | 0.98
-public-domain | public | domain | (?:released|placed|dedicated) (?:in|into|to) the public domain | 2 | 0.85
-public-domain | public | domain | public domain | 1 | 0.5
-zlib | altered | misrepresented | altered source versions must be plainly marked as such and must not be misrepresented | 3 | 0.95
-bsl-1.0 | boost | license | boost software license | 2 | 0.85
-ofl-1.1 | font | license | open font license | 2 | 0.85
-cc-by | creative | commons | creative commons attribution | 2 | 0.8
-cc-by-sa | cc | sa | cc by sa | 3 | 0.9
-cc-by-nc | cc | nc | cc by nc | 3 | 0.9
-cc-by-nd | cc | nd | cc by nd | 3 | 0.9
-cc-by-nc-sa | cc | nc | cc by nc sa | 3 | 0.92
-cc-by-nc-nd | cc | nc | cc by nc nd | 3 | 0.92
-cc0-1.0 | cc0 | cc0 | cc0 | 2 | 0.85
-creative-commons | creative | commons | creative commons(?: license)? | 1 | 0.6
-proprietary | proprietary | confidential | proprietary and confidential | 3 | 0.9
-proprietary | unauthorized | prohibited | unauthorized (?:copying|use|reproduction|distribution) (?:\S+ ){0,6}(?:is )?(?:strictly )?prohibited | 3 | 0.85
-proprietary | permission | written | without (?:the )?(?:prior )?(?:express )?written permission | 2 | 0.6
-reserved | rights | reserved | (?:all|some) rights reserved | 2 | 0.9
-no-rights-reserved | rights | reserved | no rights reserved | 3 | 0.9
-copyright | copyright | copyright | copyright(?: c)? (?:19|20)\d\d(?: (?:19|20)\d\d)* | 2 | 0.7
-copyright | copyright | copyright | copyright | 1 | 0.3
-trademark | trademark | registered | registered trademarks? of | 1 | 0.3
-commercial | commercial | license | commercial license | 1 | 0.5
-noncommercial | commercial | purposes | for non ?commercial (?:use|purposes) only | 2 | 0.7
-academic | academic | research | for academic (?:and|or) research (?:use|purposes) only | 2 | 0.7
-license | license | license | (?:see|read) the license(?: file)? | 1 | 0.4
-license | licensed | licensed | (?:is|are) licensed | 1 | 0.4
-eula | license | agreement | end user license agreement | 2 | 0.7
+mit | permission is hereby granted free of charge to any person obtaining a copy of this software | 3 | 0.98
+mit | to deal in the software without restriction including without limitation the rights | 3 | 0.95
+mit | to use copy modify merge publish distribute sublicense and or sell copies of the software | 3 | 0.95
+mit | the above copyright notice and this permission notice shall be included in all copies or substantial portions | 3 | 0.95
+mit | in no event shall the authors or copyright holders be liable for any claim damages or other liability | 3 | 0.9
+mit | arising from out of or in connection with the software or the use or other dealings in the software | 3 | 0.9
+mit | fitness for a particular purpose and noninfringement | 2 | 0.6
+isc | permission to use copy modify and or distribute this software for any purpose with or without fee | 3 | 0.97
+isc | provided that the above copyright notice and this permission notice appear in all copies | 3 | 0.9
+isc | the author disclaims all warranties with regard to this software | 3 | 0.85
+x11 | shall not be used in advertising or otherwise to promote the sale use or other dealings in this software | 3 | 0.95
+bsd | redistribution and use in source and binary forms with or without modification are permitted | 3 | 0.97
+bsd | redistributions of source code must retain the above copyright notice | 3 | 0.95
+bsd | redistributions in binary form must reproduce the above copyright notice | 3 | 0.95
+bsd | this list of conditions and the following disclaimer(?: in the documentation)? | 2 | 0.8
+bsd | this software is provided by the copyright holders and contributors as is | 3 | 0.9
+bsd | any express or implied warranties including but not limited to the implied warranties of merchantability | 2 | 0.7
+bsd-3-clause | may be used to endorse or promote products derived from this software | 3 | 0.9
+bsd-3-clause | neither the name of (?:\S+ ){1,8}nor the names of its contributors | 3 | 0.95
+bsd-4-clause | all advertising materials mentioning features or use of this software must display the following acknowledgement | 3 | 0.95
+bsd-2-clause-patent | subject to the terms and conditions of this license each copyright holder and contributor hereby grants | 3 | 0.9
+apache-2.0 | you may not use this file except in compliance with the license | 3 | 0.9
+apache-2.0 | apache license version 2 0 january 2004 | 3 | 0.99
+apache-2.0 | www apache org licenses license 2 0 | 3 | 0.97
+apache-2.0 | unless required by applicable law or agreed to in writing software distributed under the license | 3 | 0.95
+apache-2.0 | see the license for the specific language governing permissions and limitations | 3 | 0.9
+apache-2.0 | grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license | 3 | 0.9
+apache-1.1 | this product includes software developed by the apache software foundation | 3 | 0.9
+gpl | you can redistribute it and or modify it under the terms of the gnu(?: lesser| affero| library)? general public license | 3 | 0.97
+gpl | without even the implied warranty of merchantability or fitness for a particular purpose | 2 | 0.7
+gpl | you should have received a copy of the gnu(?: lesser| affero| library)? general public license | 3 | 0.95
+gpl | gnu general public license | 2 | 0.9
+gpl | either version [123] of the license or at your option any later version | 3 | 0.9
+gpl | everyone is permitted to copy and distribute verbatim copies of this license document | 3 | 0.9
+gpl | the licenses for most software are designed to take away your freedom to share and change it | 3 | 0.95
+gpl | www gnu org (?:licenses|copyleft) gpl(?: html| txt)? | 3 | 0.95
+gpl-3.0 | the gnu general public license is a free copyleft license for software and other kinds of works | 3 | 0.97
+gpl-2.0 | write to the free software foundation inc 5(?:1|9) (?:franklin street|temple place) | 3 | 0.85
+gpl-exception | as a special exception the copyright holders (?:of this library )?give you permission to link | 3 | 0.9
+gpl-classpath | linking this library statically or dynamically with other modules is making a combined work | 3 | 0.95
+lgpl | gnu lesser general public license | 3 | 0.9
+lgpl | gnu library general public license | 3 | 0.9
+lgpl | www gnu org licenses lgpl(?: 2 1| 3 0)?(?: html| txt)? | 3 | 0.95
+agpl | affero general public license | 3 | 0.9
+agpl | www gnu org licenses agpl(?: 3 0)?(?: html| txt)? | 3 | 0.95
+agpl | designed specifically to ensure cooperation with the community in the case of network server software | 3 | 0.97
+gfdl | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license | 3 | 0.97
+gfdl | with no invariant sections no front cover texts and no back cover texts | 3 | 0.95
+mpl-2.0 | this source code form is subject to the terms of the mozilla public license | 3 | 0.97
+mpl-2.0 | if a copy of the mpl was not distributed with this file you can obtain one at | 3 | 0.97
+mpl-1.1 | the contents of this file are subject to the mozilla public license version 1 1 | 3 | 0.97
+mpl-1.1 | software distributed under the license is distributed on an as is basis without warranty of any kind | 3 | 0.8
+epl | eclipse public license | 2 | 0.85
+epl-2.0 | this program and the accompanying materials are made available under the terms of the eclipse public license(?: 2 0)? | 3 | 0.95
+cddl | the contents of this file are subject to the terms of the common development and distribution license | 3 | 0.97
+cddl | you can obtain a copy of the license at (?:\S+ ){0,6}cddl | 3 | 0.85
+cpl | this program is made available under the terms of the common public license | 3 | 0.95
+unlicense | this is free and unencumbered software released into the public domain | 3 | 0.98
+unlicense | anyone is free to copy modify publish use compile sell or distribute this software | 3 | 0.97
+unlicense | in jurisdictions that recognize copyright laws the author or authors of this software dedicate | 3 | 0.95
+public-domain | (?:released|placed|dedicated|put) (?:in|into|to) the public domain | 2 | 0.85
+public-domain | (?:is|are) in the public domain | 2 | 0.8
+public-domain | no copyright is claimed | 2 | 0.75
+public-domain | public domain | 1 | 0.5
+wtfpl | do what the \S+ you want to public license | 3 | 0.97
+wtfpl | you just do what the \S+ you want to | 3 | 0.9
+beerware | if we meet some day and you think this stuff is worth it you can buy me a beer | 3 | 0.97
+zlib | altered source versions must be plainly marked as such and must not be misrepresented | 3 | 0.95
+zlib | the origin of this software must not be misrepresented | 3 | 0.95
+zlib | this notice may not be removed or altered from any source distribution | 3 | 0.95
+zlib | in no event will the authors be held liable for any damages arising from the use of this software | 3 | 0.9
+libpng | the png reference library is supplied as is | 3 | 0.95
+bsl-1.0 | boost software license | 2 | 0.85
+bsl-1.0 | www boost org license 1 0 txt | 3 | 0.97
+bsl-1.0 | unless such copies or derivative works are solely in the form of machine executable object code | 3 | 0.95
+ofl-1.1 | open font license | 2 | 0.85
+ofl-1.1 | with reserved font name | 3 | 0.9
+ofl-1.1 | the font software may be sold as part of a larger software package | 3 | 0.9
+artistic | you may make and give away verbatim copies of the source form of the standard version of this package | 3 | 0.95
+artistic | same terms as perl itself | 3 | 0.9
+psf-2.0 | psf hereby grants licensee a nonexclusive royalty free world wide license | 3 | 0.95
+openssl | this product includes software developed by the openssl project | 3 | 0.95
+openssl | this product includes cryptographic software written by eric young | 3 | 0.95
+ncsa | neither the names of (?:\S+ ){1,10}nor the names of its contributors may be used to endorse | 3 | 0.85
+postgresql | permission to use copy modify and distribute this software and its documentation for any purpose without fee | 3 | 0.9
+json | the software shall be used for good not evil | 3 | 0.98
+curl | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted | 3 | 0.9
+vim | vim is charityware | 3 | 0.95
+w3c | by obtaining using and or copying this work you the licensee agree | 3 | 0.9
+sspl | service source code means the corresponding source for the program or the modified version | 3 | 0.95
+busl | effective on the change date or the fourth anniversary of the first publicly available distribution | 3 | 0.97
+elastic | you may not provide the software to third parties as a hosted or managed service | 3 | 0.97
+commons-clause | the grant of rights under the license will not include and the license does not grant to you the right to sell | 3 | 0.97
+cc-by | creative commons attribution | 2 | 0.8
+cc-by-sa | cc by sa | 3 | 0.9
+cc-by-nc | cc by nc | 3 | 0.9
+cc-by-nd | cc by nd | 3 | 0.9
+cc-by-nc-sa | cc by nc sa | 3 | 0.92
+cc-by-nc-nd | cc by nc nd | 3 | 0.92
+cc-by | creativecommons org licenses by(?: [1-4] [05])? | 3 | 0.95
+cc-by-sa | creativecommons org licenses by sa(?: [1-4] [05])? | 3 | 0.97
+cc-by-nc | creativecommons org licenses by nc(?: [1-4] [05])? | 3 | 0.97
+cc-by-nd | creativecommons org licenses by nd(?: [1-4] [05])? | 3 | 0.97
+cc-by-nc-sa | creativecommons org licenses by nc sa(?: [1-4] [05])? | 3 | 0.98
+cc-by-nc-nd | creativecommons org licenses by nc nd(?: [1-4] [05])? | 3 | 0.98
+cc0-1.0 | creativecommons org publicdomain zero 1 0 | 3 | 0.97
+cc0-1.0 | waived all copyright and related or neighboring rights | 3 | 0.95
+creative-commons | some rights reserved under (?:a |the )?creative commons | 3 | 0.85
+creative-commons | creative commons(?: license)? | 1 | 0.6
+proprietary | proprietary and confidential | 3 | 0.9
+proprietary | confidential and proprietary | 3 | 0.9
+proprietary | trade secrets? (?:and|or) confidential information | 2 | 0.7
+proprietary | unauthorized (?:copying|use|reproduction|distribution|disclosure) (?:\S+ ){0,6}(?:is )?(?:strictly )?prohibited | 3 | 0.85
+proprietary | without (?:the )?(?:prior )?(?:express )?written (?:permission|consent) | 2 | 0.6
+proprietary | no part of this (?:publication|book|work|document|site) may be reproduced | 3 | 0.9
+proprietary | may not be (?:reproduced|copied|republished|redistributed)(?: or (?:reproduced|copied|republished|redistributed))? | 2 | 0.65
+proprietary | this material may not be published broadcast rewritten or redistributed | 3 | 0.95
+proprietary | you may not (?:copy|reverse engineer|decompile|disassemble) | 2 | 0.65
+proprietary | all other rights are reserved | 2 | 0.7
+reserved | (?:all|some) rights reserved | 2 | 0.9
+reserved | tous droits réservés | 2 | 0.85
+reserved | alle rechte vorbehalten | 2 | 0.85
+reserved | todos los derechos reservados | 2 | 0.85
+no-rights-reserved | no rights reserved | 3 | 0.9
+copyright | copyright(?: c)? (?:19|20)\d\d(?: (?:19|20)\d\d)* | 2 | 0.7
+copyright | copyright(?: ©)? (?:by )?the (?:authors?|contributors?) | 2 | 0.6
+copyright | copyright | 1 | 0.3
+trademark | registered trademarks? of | 1 | 0.3
+trademark | (?:is|are) (?:a )?trademarks? of | 1 | 0.3
+patent | (?:patents? pending|covered by (?:one or more )?patents) | 1 | 0.3
+commercial | commercial licen[cs]e | 1 | 0.5
+noncommercial | for (?:personal and )?non ?commercial (?:use|purposes) only | 2 | 0.7
+noncommercial | not for commercial (?:use|purposes) | 2 | 0.7
+noncommercial | commercial use (?:is )?(?:not permitted|prohibited|forbidden) | 2 | 0.75
+academic | for academic (?:and|or) research (?:use|purposes) only | 2 | 0.7
+academic | for research (?:and educational )?(?:use|purposes) only | 2 | 0.7
+evaluation | for evaluation purposes only | 2 | 0.7
+personal | for (?:your )?personal use only | 2 | 0.65
+government | restricted rights legend | 2 | 0.8
+government | commercial computer software documentation | 2 | 0.6
+license | (?:see|read) the licen[cs]e(?: file)? | 1 | 0.4
+license | (?:is|are) licensed | 1 | 0.4
+license | subject to the (?:following )?terms and conditions(?: of this license)? | 1 | 0.4
+license | this license (?:does not grant|shall apply|governs) | 1 | 0.5
+license | dual licensed | 1 | 0.5
+eula | end user licen[cs]e agreement | 2 | 0.7
+eula | by (?:installing|downloading|using) (?:\S+ ){0,4}you agree to (?:be bound by )?(?:the|these) terms | 2 | 0.65
+no-warranty | provided as is without warranty of any kind | 2 | 0.6
+no-warranty | the software is provided as is | 2 | 0.6
+no-warranty | comes with absolutely no warranty | 2 | 0.7
+robots | no (?:text and data mining|ai training) (?:is )?(?:permitted|allowed) | 2 | 0.7
 """.strip().split("\n")]
 
-Rule = tuple[str, str, str, str, int, float]
+Rule = tuple[str, str, int, float]
 
 
-def rules() -> list[Rule]:
-    """``label, keyword, keyword, pattern, priority, confidence``, in order: whole sentences, then each name in each form.
+@functools.cache
+def rules() -> tuple[Rule, ...]:
+    """``label, pattern, priority, confidence``, in order: whole sentences, then each name where it is declared and where it stands on its own.
 
-    The keywords only describe a rule; what a text must have for it to run is read off its pattern.
+    A name that can be a single word counts on its own only with the word license behind it.
     """
-    out = [(label, a, b, text, int(priority), float(sure)) for label, a, b, text, priority, sure in TEXTS]
-    return out + [(label, key, own, form.replace("NAME", name), priority, sure) for label, key, name in NAMES for own, form, priority, sure in FORMS]
+    out = [(label, text, int(priority), float(sure)) for label, text, priority, sure in TEXTS]
+    for label, name, alone in NAMES:
+        plain = alone or all(" " in s for s in _spellings(parser.parse(name)))
+        out += [(label, f"{DECLARED}(?:{name})", 3, 0.95), (label, f"(?:{name})(?: {TITLE})" + "?" * bool(plain), 2, 0.85)]
+    return tuple(out)
 
 
 #: Any characters, none or spaces included: what it touches is no known word.
@@ -222,28 +363,33 @@ def needs(pattern: str) -> list[list[str]]:
     return sorted(sorted(s, key=lambda w: (-len(w), w)) for s in least)
 
 
+def numbered(pattern: str) -> str:
+    """A pattern over words that each have a tilde and a number behind them; a match ends with the number of its last word."""
+    between = r"~\d++ "
+    own = pattern.replace(r"\S", "[^ ~]").replace(" ?", "\0").replace(" ]", "\1").replace("[^ ~]", "\2").replace(" ", between)
+    return rf"(?<= )(?:{own})~\d++".replace("\0", f"(?:{between})?").replace("\1", " ]").replace("\2", "[^ ~]")
+
+
 def _quoted(x: object) -> str:
     if isinstance(x, list):
         return f"array({', '.join(map(_quoted, x))})" if x else "cast(array() as array<string>)"
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else f"{x}D" if isinstance(x, float) else str(x)
 
 
-def _rule_array(found: list[Rule]) -> Column:
+def _rule_array(found: Sequence[Rule]) -> Column:
     named = ("label", "needs", "pattern", "priority", "sure")
     structs = (
-        "named_struct(" + ", ".join(f"'{k}', {_quoted(v)}" for k, v in zip(named, (r[0], needs(r[3]), f"(?<= )(?:{r[3]})(?= )", r[4], r[5]), strict=True)) + ")"
-        for r in found
+        "named_struct(" + ", ".join(f"'{k}', {_quoted(v)}" for k, v in zip(named, (label, needs(pattern), numbered(pattern), priority, sure), strict=True)) + ")"
+        for label, pattern, priority, sure in found
     )
     return F.expr(f"array({', '.join(structs)})")
 
 
 _NONE = "cast(array() as array<struct<lo: int, hi: int, priority: int, label: string, sure: double>>)"
-#: The intervals of a rule's matches: lengths of what stands between the matches and of the matches, added up.
-_MATCHES = f"""flatten(transform(filter(rules, r -> exists(r.needs, s -> forall(s, k -> array_contains(present, k)))), r ->
-    aggregate(zip_with(slice(split(joined, r.pattern, -1), 1, size(regexp_extract_all(joined, r.pattern, 0))), regexp_extract_all(joined, r.pattern, 0), (g, h) -> struct(g as gap, h as hit)),
-        named_struct('at', 0, 'out', {_NONE}),
-        (s, x) -> named_struct('at', s.at + length(x.gap) + length(x.hit), 'out', concat(s.out, array(named_struct('lo', s.at + length(x.gap), 'hi', s.at + length(x.gap) + length(x.hit), 'priority', r.priority, 'label', r.label, 'sure', r.sure)))),
-        s -> s.out)))"""
+_GATED = "filter(rules, r -> exists(r.needs, s -> forall(s, k -> array_contains(present, k))))"
+#: The intervals of all matches, in words, the last one included.
+_MATCHES = r"""flatten(transform(active, r -> transform(regexp_extract_all(joined, r.pattern, 0), h ->
+    named_struct('lo', int(regexp_extract(h, '~(\\d+)', 1)), 'hi', int(regexp_extract(h, '~(\\d+)$', 1)), 'priority', r.priority, 'label', r.label, 'sure', r.sure))))"""
 #: In the order of starts, longer first, then higher priorities: one is suppressed if an interval kept so far, of its priority or a higher one, reaches its end.
 _ORDER = "(a, b) -> case when a.lo <> b.lo then a.lo - b.lo when a.hi <> b.hi then b.hi - a.hi when a.priority <> b.priority then b.priority - a.priority when a.label < b.label then -1 when a.label > b.label then 1 else 0 end"
 _KEPT = f"""aggregate(array_sort(found, {_ORDER}),
@@ -253,18 +399,17 @@ _KEPT = f"""aggregate(array_sort(found, {_ORDER}),
             'e2', if(d.priority >= 2, greatest(s.e2, d.hi), s.e2), 'e3', if(d.priority >= 3, greatest(s.e3, d.hi), s.e3))))"""
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: list[Rule] | None = None) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: Sequence[Rule] | None = None) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, rule_labels, detections, score`` of each row.
 
     ``n_base``: places where the words of a base phrase stand together, ``first_word`` and ``last_word`` the least and
     greatest of their first words, null if there is none; labels are sorted arrays; ``detections``: the matches of all rules before
-    suppression.  ``score``: the highest confidence of what is kept, 0.9 at least where there is a base phrase, 0 for nothing.
+    suppression, ``lo`` and ``hi`` their first and last words.  ``score``: the highest confidence of what is kept, 0.9 at least where there is a base phrase, 0 for nothing.
 
-    A null or empty text has no words and nothing is found.  Ids may be null or repeat; other columns are not read.
+    A null or empty text has no words and nothing is found; an empty table gives none.  Ids may be null or repeat; other columns are not read.
     """
     table = rules() if found is None else found
-    keys = sorted({k for r in table for s in needs(r[3]) for k in s} | {w for phrase in BASE for w in phrase})
-    # Spaces at both ends, so that every word of a match has one on each side.
+    keys = sorted({k for r in table for s in needs(r[1]) for k in s} | {w for phrase in BASE for w in phrase})
     rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
     rows = rows.select("doc_id", "w", F.array_intersect("w", F.array(*map(F.lit, keys))).alias("present"))
     places = []
@@ -273,10 +418,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         same = " and ".join(f"w[i + {k}] = '{w}'" for k, w in enumerate(phrase))
         places.append(f"if({gate} and size(w) >= {len(phrase)}, transform(filter(sequence(0, greatest(size(w) - {len(phrase)}, 0)), i -> {same}), i -> named_struct('at', i, 'label', '{label}')), cast(array() as array<struct<at: int, label: string>>))")
     rows = rows.withColumn("base", F.expr(f"concat({', '.join(places)})"))
-    gated = F.when(F.size("present") > 0, F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")))
-    rows = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), "base", "present", gated.alias("joined"))
-    ready = rows.withColumn("rules", F.when(F.size("present") > 0, _rule_array(table)))
-    seen = ready.withColumn("found", F.expr(f"if(size(present) > 0, {_MATCHES}, {_NONE})")).drop("rules", "joined", "present")
+    ready = rows.withColumn("rules", F.when(F.size("present") > 0, _rule_array(table))).withColumn("active", F.expr(_GATED))
+    # Spaces at both ends, so that every word of a match has one before it.
+    joined = F.concat(F.lit(" "), F.array_join(F.transform("w", lambda x, i: F.concat(x, F.lit("~"), i.cast("string"))), " "), F.lit(" "))
+    ready = ready.select("doc_id", F.size("w").cast("long").alias("n_words"), "base", "active", F.when(F.size("active") > 0, joined).alias("joined"))
+    seen = ready.select("doc_id", "n_words", "base", F.expr(f"if(size(active) > 0, {_MATCHES}, {_NONE})").alias("found"))
     kept = seen.withColumn("kept", F.expr(_KEPT))
     return kept.select(
         "doc_id",

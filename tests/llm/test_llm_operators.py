@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -381,12 +382,12 @@ def test_conversations(spark):
 
 
 def brute_licenses(t, found, base):
+    """All regexes on the joined words, without a gate."""
     w = plain(t)
     places = [(i, label) for p, label in base.items() for i in range(len(w) - len(p) + 1) if tuple(w[i : i + len(p)]) == p]
     joined, hits = " " + " ".join(w) + " ", []
-    for label, a, b, pattern, priority, sure in found:
-        if a in w and b in w:
-            hits += [(m.start(), -m.end(), -priority, label, sure) for m in re.finditer(f"(?<= )(?:{pattern})(?= )", joined)]
+    for label, pattern, priority, sure in found:
+        hits += [(m.start(), -m.end(), -priority, label, sure) for m in re.finditer(f"(?<= )(?:{pattern})(?= )", joined)]
     kept = []
     for h in sorted(hits):
         if not any(-k[1] >= -h[1] and -k[2] >= -h[2] for k in kept):
@@ -396,20 +397,32 @@ def brute_licenses(t, found, base):
     return len(w), len(places), min(starts, default=None), max(starts, default=None), sorted({x for _, x in places}), sorted({k[3] for k in kept}), score
 
 
+def license_row(r):
+    return r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["rule_labels"], r["score"]
+
+
 def test_licenses(spark):
-    from graphmem.llm.license_scan import BASE, license_scan, rules
+    from graphmem.llm.license_scan import BASE, NAMES, TEXTS, license_scan, rules
 
     texts = [None, "", "plain text", "Licensed under the Apache License, Version 2.0", "CC BY 4.0; cc by-nc 4.0", "GNU General Public License version 3. All Rights Reserved. all rights reserved", "mit license MIT", "SPDX-License-Identifier: MIT", "Copyright (c) 2019 2020 X. See the LICENSE file", "cc by", "the general public license", "released into the public domain " * 300, "is licensed under the terms of the mpl 2.0, distributed under the gnu gpl v2"]
     found = rules()
-    assert len(found) > 200 and len({(r[0], r[3]) for r in found}) == len(found)
+    assert len(NAMES) + len(TEXTS) > 200 and len({r[:2] for r in found}) == len(found)
     got = {r["doc_id"]: r for r in license_scan(table(spark, texts)).collect()}
     for k, t in enumerate(texts):
-        r = got[k]
-        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["rule_labels"], r["score"]) == brute_licenses(t, found, BASE), t
+        assert license_row(got[k]) == brute_licenses(t, found, BASE), t
+    assert license_scan(table(spark, [])).count() == 0
+
+
+def test_license_names_on_their_own(spark):
+    from graphmem.llm.license_scan import license_scan
+
+    texts = {"MIT License": "mit", "Apache License, Version 2.0": "apache-2.0", "GPLv3": "gpl-3.0", "licensed under LGPL": "lgpl", "the Unlicense": "unlicense", "mit dem Hund": None, "X11 window": None}
+    for r, (t, label) in zip(license_scan(table(spark, list(texts))).orderBy("doc_id").collect(), texts.items(), strict=True):
+        assert (label in r["rule_labels"]) if label else not r["rule_labels"], t
 
 
 def test_licenses_need_no_keyword(spark):
-    """All regexes on every text, without a gate: phrases that lack a rule's keywords, and spellings of all rules."""
+    """Phrases that lack a rule's keywords, and spellings of all rules, against all regexes without a gate."""
     from graphmem.llm.license_scan import BASE, _spellings, license_scan, needs, parser, rules
 
     texts = """licence MIT|licensed under the Expat license|license 0BSD|license MS-PL|released under MS-RL|license PSF license|license open rail|license beer ware|for non-commercial use only|
@@ -417,15 +430,23 @@ def test_licenses_need_no_keyword(spark):
         gnu general public license v3|license eupl1 2|unauthorized copying of this file by any means is strictly prohibited|\u2028licence\u00a0mit licence mit""".split("|")
     found, rng = rules(), random.Random(10)
     for r in found:
-        texts += [x.replace("\0", "7") for x in rng.sample(sorted(_spellings(parser.parse(r[3]))), 1)]
+        texts += [x.replace("\0", "7") for x in rng.sample(sorted(_spellings(parser.parse(r[1]))), 1)]
+    texts += [" ".join(rng.sample(texts, 4)) for _ in range(100)]
     got = {r["doc_id"]: r for r in license_scan(table(spark, texts)).collect()}
     for k, t in enumerate(texts):
-        r, w = got[k], plain(t)[0]
-        open_rules = [(label, w, w, pattern, priority, sure) for label, _, _, pattern, priority, sure in found]
-        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["rule_labels"], r["score"]) == brute_licenses(t, open_rules, BASE), t
+        assert license_row(got[k]) == brute_licenses(t, found, BASE), t
     assert needs("a?b(?: c)*|x.y") == [[]] and needs("share ?alike(?: [1-4])?") == [["alike", "share"], ["sharealike"]]
 
 
+def test_long_texts_of_matches(spark):
+    """A megabyte of hits takes seconds: time grows with the matches, not with their square."""
+    from graphmem.llm.license_scan import license_scan
+
+    began = time.perf_counter()
+    row = license_scan(table(spark, ["copyright x " * 87_000])).selectExpr("size(detections) as n", "rule_labels").first()
+    assert (row["n"], row["rule_labels"]) == (87_000, ["copyright"]) and time.perf_counter() - began < 20
+
+
 # --- 1 -------------------------------------------------------------------------------------------------------
 
 
