@@ -194,10 +194,35 @@ def test_contamination(spark, monkeypatch):
         return Counter(repr((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"])) for r in decontaminate.contamination(docs, items).collect())
 
     assert got() == expected
-    monkeypatch.setattr(decontaminate, "MAX_SET", 0)  # the ways beyond the bounds
-    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(decontaminate, "MAX_VERIFYING_BYTES", 0)  # the ways beyond the bounds
+    assert got() == expected
+    monkeypatch.setattr(decontaminate, "PASS", 3)
     assert got() == expected
     assert all(r["n_hit"] == 0 for r in decontaminate.contamination(docs, items.limit(0)).collect())
+    assert decontaminate.contamination(docs.limit(0), items).count() == 0
+
+
+def test_contamination_by_a_large_set(spark):
+    """More windows than a literal set would hold: the same rows, whichever way they are looked up."""
+    from graphmem.llm import decontaminate
+
+    docs, items, texts, raw = leak_case(spark)
+    expected = Counter(map(repr, brute_leaks(list(zip([9, 8, 7, 6, 5, None, 3, 2, 9], texts, strict=True)), raw, 10)))
+    many = spark.range(30_000).selectExpr("id + 1000 as item_id", "array_join(transform(sequence(0, 12), i -> concat('q', id, 'r', i)), ' ') as text")
+    got = decontaminate.contamination(docs, items.unionByName(many)).collect()
+    assert Counter(repr((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"])) for r in got) == expected
+
+
+def test_long_texts_of_leaks(spark):
+    """A megabyte with 30,000 separate hits takes seconds."""
+    from graphmem.llm import decontaminate
+
+    began = time.perf_counter()
+    docs, items = table(spark, ["short one, and so on and on; " * 36_000]), spark.createDataFrame([(1, "short one")], "item_id long, text string")
+    row = decontaminate.contamination(docs, items).selectExpr("n_words", "n_hit", "size(spans) as n").first()
+    assert tuple(row) == (252_000, 72_000, 36_000)
+    assert decontaminate.decontaminated(docs, items).selectExpr("length(text) as n").first()["n"] == len("and so on and on; ") * 36_000
+    assert time.perf_counter() - began < 30
 
 
 def test_decontaminated(spark):
