@@ -2,7 +2,7 @@
 
 Each language has a codeword of bits.  A linear classifier over hashed byte n-grams predicts
 each bit; decoding takes the codeword of least loss, each bit weighted by how well its
-classifier does, and flags a text as ambiguous where two codewords are close.
+classifier does on rows that it wasn't fitted to, and flags a text as ambiguous where two codewords are close.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmem.llm import textarrays as ta
+from graphmem.llm.shared import first_bytes
 
 UNDETERMINED = "und"
 BUCKETS, BITS = 1 << 13, 15
@@ -24,6 +25,10 @@ ORDERS = (1, 2, 3)
 ROWS, BATCH_BYTES = 256, 1 << 20
 #: The most labelled rows that training reads, taken in the order of a hash of their ids.
 MAX_TRAINING_ROWS = 3000
+#: Bytes of text that training reads, the text that crosses the bound included.
+MAX_TRAINING_BYTES = 32 << 20
+#: Parts of the learned rows; the trust in a bit comes from classifiers fitted to the other parts.
+FOLDS = 3
 EPOCHS, RATE, PENALTY = 60, 0.05, 1e-4
 #: A text is ambiguous if the probability of its language is below this.
 AMBIGUOUS = 0.6
@@ -83,8 +88,14 @@ def train(texts: pa.Array, languages: list[str]) -> Model:
     x *= scale
     x -= (middle := x.mean(0))
     y = codes[label].astype(np.float32)
-    share = (1 / np.bincount(label, minlength=len(names)))[label]
-    share = (share / share.sum()).astype(np.float32)[:, None]
+    share = (1 / np.bincount(label, minlength=len(names)))[label].astype(np.float32)[:, None]
+    w, b = _bits(x, y, share)
+    return Model(names, codes, w * scale[:, None], b - middle @ w, _trust(x, y, share))
+
+
+def _bits(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of the classifiers."""
+    share = share / share.sum()
     w, b = np.zeros((BUCKETS, BITS), np.float32), np.zeros(BITS, np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, EPOCHS + 1):
@@ -93,9 +104,21 @@ def train(texts: pa.Array, languages: list[str]) -> Model:
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= RATE * 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         b -= RATE * pull.sum(0)
-    right = (np.sign(x @ w + b) == y).mean(0)
-    trust = np.log(np.clip(right, 0.51, 0.999) / (1 - np.clip(right, 0.51, 0.999)))
-    return Model(names, codes, w * scale[:, None], b - middle @ w, trust / trust.mean())
+    return w, b
+
+
+def _trust(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The weight of each bit: the log-odds of its mean probability on held-out rows, 1 on average; alike if there are too few rows."""
+    if len(x) < 2 * FOLDS:
+        return np.ones(BITS)
+    loss, fold = np.zeros(BITS), np.arange(len(x)) % FOLDS
+    for k in range(FOLDS):
+        w, b = _bits(x[fold != k], y[fold != k], share[fold != k])
+        own = fold == k
+        loss += (share[own] * np.logaddexp(0, -y[own] * (x[own] @ w + b))).sum(0)
+    right = np.clip(np.exp(-loss / share.sum()), 0.51, 1 - 1e-6)
+    trust = np.log(right / (1 - right))
+    return trust / trust.mean()
 
 
 def _batches(offs: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -125,10 +148,11 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.n
 
 
 def fit(labelled: DataFrame, max_rows: int = MAX_TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Trains on at most ``max_rows`` rows with a text and a language, in the order of a hash of the id."""
+    """Trains on at most ``max_rows`` rows with a text and a language, in the order of a hash of the id, and on ``MAX_TRAINING_BYTES`` of their text."""
     rows = labelled.where(F.col(lang_col).isNotNull())
     chosen = rows.select(F.col(id_col).alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    got = rows.join(F.broadcast(chosen), rows[id_col] == chosen["doc_id"], "left_semi").where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).orderBy(F.xxhash64("text"), "lang").limit(max_rows).toArrow()
+    got = rows.join(F.broadcast(chosen), rows[id_col] == chosen["doc_id"], "left_semi").where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).orderBy(F.xxhash64("text"), "lang").limit(max_rows)
+    got = first_bytes(got, "text", [F.xxhash64("text"), F.col("lang")], MAX_TRAINING_BYTES).toArrow()
     if not got.num_rows:
         return Model([], np.zeros((0, BITS)), np.zeros((BUCKETS, BITS), np.float32), np.zeros(BITS), np.ones(BITS))
     return train(got.column("text").combine_chunks(), got.column("lang").to_pylist())
@@ -138,7 +162,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """``doc_id, lang_pred, score, ambiguous`` of each row, from the whole text.
 
     A null text, or one without a letter, is ``und`` with score 0, and so is every text if
-    there was nothing to learn from.  Ids may be null or repeat; other columns are not read.  One narrow stage.
+    there was nothing to learn from.  Of languages with equal scores the first by name is taken, and the text is ambiguous.  Ids may be null or repeat; other columns are not read.  One narrow stage.
     """
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 

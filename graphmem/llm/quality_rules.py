@@ -1,7 +1,8 @@
 """Line-first quality rules.
 
-Every line is judged on its own: navigation (cells between bars), symbols in place of prose,
-boilerplate phrases, and fragments that no sentence mark ends.  Lines that fail go; a document that
+Every line is judged on its own: punctuation (a line of prose, whatever its length, ends in a sentence mark or has enough of them
+inside; items of lists need none), navigation (cells between bars), symbols in place of prose, and
+boilerplate phrases.  Lines that fail go; a document that
 loses too much of its text that way is rejected.  All rules read byte buffers in numpy.
 """
 
@@ -20,7 +21,14 @@ from graphmem.llm import textarrays as ta
 
 BATCH_BYTES = 2 << 20
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
-ENDINGS = np.isin(np.arange(256), list(b".!?:;\"')]"))
+#: What may end a line of prose; those beyond ASCII take two or three bytes.
+ENDINGS = ".!?:;\"')]\u00bb\u060c\u061f\u0964\u2019\u201d\u2026\u3002\uff01\uff1f"
+_ENDS = np.isin(np.arange(256), list(ENDINGS.encode("ascii", "ignore")))
+_LONG_ENDS = {n: [int.from_bytes(c.encode(), "big") for c in ENDINGS if len(c.encode()) == n] for n in (2, 3)}
+STOPS = np.isin(np.arange(256), list(b".!?"))
+DIGITS = np.isin(np.arange(256), list(b"0123456789"))
+#: What may stand before an item of a list, besides a number with a full stop or a bracket behind it.
+BULLETS = ("-", "*", "+", "\u2022", "\u2013")
 #: Phrases of page furniture; a line of few words that has one is boilerplate.
 BOILERPLATE = re.compile(
     rb"cookie (?:policy|settings|preferences)|accept (?:all )?cookies|privacy policy|terms (?:of (?:use|service)|and conditions)"
@@ -44,8 +52,8 @@ class Rules:
     #: A line of symbols has one for each so many words.
     words_per_symbol: int = 2
     boilerplate_words: int = 12
-    #: A fragment has fewer words than this and no sentence mark at its end.
-    fragment_words: int = 3
+    #: A line that no sentence mark ends has a full stop, exclamation or question mark for each so many words.
+    words_per_stop: int = 40
     #: A document goes if its failed lines hold more than this share.
     max_lost: float = 0.5
 
@@ -71,6 +79,28 @@ def _lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, owner
 
 
+def _ended(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether words, from ``lo`` to before ``hi``, end in one of ``ENDINGS``."""
+    out, value = _ENDS[data[hi - 1]], data[hi - 1].astype(np.int64)
+    for n in (2, 3):
+        value = value + (np.where(hi - lo >= n, data[np.maximum(hi - n, 0)], 0).astype(np.int64) << 8 * (n - 1))
+        out = out | ((hi - lo >= n) & np.isin(value, _LONG_ENDS[n]))
+    return out
+
+
+def _bulleted(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether words are one of ``BULLETS`` or a number with a full stop or a bracket."""
+    size = hi - lo
+    out = (size > 1) & np.isin(data[hi - 1], list(b".)")) & (_sums(DIGITS[data], lo, hi - 1) == size - 1)
+    for mark in BULLETS:
+        raw = mark.encode()
+        same = size == len(raw)
+        for k, b in enumerate(raw):
+            same = same & (data[np.minimum(lo + k, len(data) - 1)] == b)
+        out = out | same
+    return out
+
+
 def judged(column: pa.Array, rules: Rules) -> dict[str, np.ndarray]:
     """Figures of each text, and ``start, end, text, failed`` of each line."""
     data, offs = ta.utf8(column)
@@ -105,12 +135,13 @@ def judged(column: pa.Array, rules: Rules) -> dict[str, np.ndarray]:
     size = _sums(solid, lo, hi)
     bars, marks = _sums(data == 124, lo, hi), _sums(symbols & (data != 124), lo, hi)
     # The last word of a line ends where the line's text ends.
-    final = np.zeros(len(lo), bool)
-    at = np.searchsorted(starts, hi) - 1
-    final[full] = ENDINGS[data[ends[at[full]] - 1]] | (data[ends[at[full]] - 1] >= 0x80)
+    final, item = np.zeros(len(lo), bool), np.zeros(len(lo), bool)
+    final[full] = _ended(data, starts[np.searchsorted(starts, hi)[full] - 1], ends[np.searchsorted(starts, hi)[full] - 1])
+    item[full] = _bulleted(data, starts[np.searchsorted(starts, lo)[full]], ends[np.searchsorted(starts, lo)[full]])
+    stops = _sums(STOPS[data], lo, hi)
     failed = full & ((bars >= rules.nav_bars) & (bars * rules.nav_words_per_bar >= words))
     failed |= full & (marks * rules.words_per_symbol > words) & (marks > 2)
-    failed |= full & (words < rules.fragment_words) & ~final
+    failed |= full & ~final & ~item & (stops * rules.words_per_stop < words)
     raw = data.tobytes()
     few = np.flatnonzero(full & (words <= rules.boilerplate_words) & ~failed)
     for m in BOILERPLATE.finditer(raw) if len(few) else ():
@@ -138,7 +169,7 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), cleaned: bool = False
 
     ``lost``: the share of its non-space bytes in lines that fail; with ``cleaned`` also the text
     without them.  A null or empty text has no words: all counts are 0 and it fails the
-    base.  Ids may be null or repeat, other columns are not read.  One narrow stage, no shuffle; memory
+    base; an empty table gives no rows.  Ids may be null or repeat, other columns are not read.  One narrow stage, no shuffle; memory
     is bounded by a batch or one text.
     """
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

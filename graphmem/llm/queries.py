@@ -88,6 +88,40 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir, "doc_id", "text"))
 
 
+OP4_SQL = r"""
+with doc as (
+    select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), figure as (
+    select doc_id, cast(len(w) as bigint) as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as word_chars, cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols from doc
+), line as (
+    select doc_id, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) as n, strlen(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) as size, len(regexp_extract_all(l, '\|')) as bars,
+        len(regexp_extract_all(l, '[#*$%&<>]')) as marks, len(regexp_extract_all(l, '[.!?]')) as stops from (select doc_id, unnest(string_split(text, chr(10))) as l from doc)
+), judged as (
+    select *, n > 0 and ((bars >= 3 and bars * 6 >= n) or (marks * 2 > n and marks > 2)
+        or (not regexp_matches(l, '[ENDINGS][\x20\x09-\x0D]*$') and not regexp_matches(l, '^[\x20\x09-\x0D]*([-*+\x{2022}\x{2013}]|[0-9]+[.)])([\x20\x09-\x0D]|$)') and stops * 40 < n)
+        or (n <= 12 and regexp_matches(l, 'BOILERPLATE', 'i'))) as failed from line
+), part as (
+    select doc_id, count(*) filter (n > 0) - count(distinct l) filter (n > 0) as n_dup_lines, coalesce(sum(size) filter (failed), 0) / greatest(1, sum(size)) as lost from judged group by doc_id
+), grams as (
+    select doc_id, list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i : i + 7], ' ')) as g from doc where len(w) >= 8
+), place as (
+    select doc_id, unnest(g) as gram, unnest(range(1, len(g) + 1)) as i from grams
+), again as (
+    select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 8)) as p from place qualify count(*) over (partition by doc_id, gram) > 1) group by doc_id
+), known as (
+    select figure.*, n_dup_lines, coalesce(again.n, 0) as n_repeat_words, cast(lost as double) as lost from figure join part using (doc_id) left join again using (doc_id)
+)
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and lost <= 0.5 as kept from known
+"""
+
+
+def _op4_sql() -> str:
+    from graphmem.llm.quality_rules import BOILERPLATE, ENDINGS
+
+    ends = ENDINGS.replace("]", r"\]").replace("'", "''")
+    return OP4_SQL.replace("ENDINGS", ends).replace("BOILERPLATE", BOILERPLATE.pattern.decode())
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphmem.llm.language_id import fit, identify
 
@@ -124,6 +158,28 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_documents(spark, sf_dir, "doc_id", "text"), 3, 90).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+OP7_SQL = r"""
+with recursive word as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), grams as (
+    select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) end as g from word
+), each as (
+    select doc_id, len(g) as n, unnest(g) as gram from grams
+), pair as (
+    select a.doc_id as x, b.doc_id as y from each a join each b on a.gram = b.gram and a.doc_id <> b.doc_id and 100 * a.n >= 90 * b.n and 100 * b.n >= 90 * a.n
+    group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach(x, y) as (
+    select x, y from pair union select reach.x, pair.y from reach join pair on reach.y = pair.x
+), least_of as (
+    select x, min(y) as y from reach group by x
+), degree as (
+    select x, count(*) as n from pair group by x
+)
+select doc_id, cast(len(g) as bigint) as n_shingles, least(doc_id, coalesce(y, doc_id)) as component_id, coalesce(degree.n, 0) as n_links
+from grams left join least_of on least_of.x = doc_id left join degree on degree.x = doc_id
+"""
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphmem.llm.token_counts import token_counts
 
@@ -137,9 +193,29 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP9_SQL = r"""
+with doc as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), grams as (
+    select doc_id, list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i : i + 12], ' ')) as g from doc where len(w) >= 13
+), place as (
+    select doc_id, unnest(g) as gram, unnest(range(1, len(g) + 1)) as i from grams
+), first as (
+    select gram, min(doc_id) as d from place group by gram
+), gone as (
+    select distinct doc_id, unnest(range(i, i + 13)) as p from place join first using (gram) where d < doc_id
+), word as (
+    select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as p from doc
+), kept as (
+    select doc_id, count(*) as n, string_agg(x, ' ' order by p) as t from word anti join gone using (doc_id, p) group by doc_id
+)
+select doc_id, cast(len(w) as bigint) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from doc left join kept using (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_sentencepiece_codec, op4_quality_rules, op5_language_id, op6_chat_format, op7_jaccard_join, op8_token_counts, op9_substring_dedup, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op6_chat_format": OP6_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_quality_rules": _op4_sql(), "op6_chat_format": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op9_substring_dedup": OP9_SQL}

@@ -4,10 +4,10 @@ The distinct marked words of a batch (``marked_words.py``) are sorted, which lay
 depth-first walk of a trie: from one word to the next only the characters after the common
 prefix are new, and the forward states of the prefix are those already on the stack.
 
-What a state is depends on how the model was trained.  For a unigram model it is the greatest total score of a
-segmentation of the prefix.  For a merge model it is the last piece of the prefix's encoding: a piece can follow another one
+A forward state is the greatest total score of a segmentation of the prefix, whatever the model was trained for.  With
+``search='merges'``, for models trained for merges, it is the last piece of the prefix's encoding instead: a piece can follow another one
 only if merging the two texts together leaves both as they are, and of the pieces that end a prefix exactly one
-can follow the state where it begins.  So one forward pass finds the ids that the merges give.  A character
+can follow the state where it begins, so one forward pass finds the ids that the merges give.  A character
 without a piece becomes its UTF-8 bytes.
 """
 
@@ -29,30 +29,24 @@ from graphmem.llm import textarrays as ta
 UNKNOWN_PENALTY = 10.0
 #: Pairs of pieces that a worker remembers.
 PAIRS = 1_000_000
-_loaded: dict[str, Codec] = {}
-
-
-def _model_type(path: str) -> str:
-    from sentencepiece import sentencepiece_model_pb2
-
-    proto = sentencepiece_model_pb2.ModelProto()
-    with open(path, "rb") as f:  # the tokenizer is a file of each machine
-        proto.ParseFromString(f.read())
-    return proto.trainer_spec.ModelType.Name(proto.trainer_spec.model_type)
+_loaded: dict[tuple[str, str], Codec] = {}
 
 
 class Codec:
     """Pieces, scores and byte tokens of a .model file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, search: str = "score"):
         import sentencepiece
 
+        if search not in ("score", "merges"):
+            raise ValueError("search is 'score' or 'merges'")
+
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         plain = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         mw.check_vocabulary([model.id_to_piece(i) for i in plain])
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
-        self.merges = _model_type(path) == "BPE"
+        self.merges = search == "merges"
         self.unknown, least = model.unk_id(), min(model.get_score(i) for i in plain)
         self.unknown_score = least - UNKNOWN_PENALTY
         #: Each ending of a piece, with the piece's score and id where it is a whole piece.
@@ -194,23 +188,24 @@ def _gathered(flat: np.ndarray, at: np.ndarray, index: np.ndarray) -> np.ndarray
     return flat[np.repeat(shift, size) + np.arange(int(size.sum()))]
 
 
-def codec(path: str) -> Codec:
-    if path not in _loaded:
-        _loaded[path] = Codec(path)
-    return _loaded[path]
+def codec(path: str, search: str = "score") -> Codec:
+    if (path, search) not in _loaded:
+        _loaded[path, search] = Codec(path, search)
+    return _loaded[path, search]
 
 
-def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "piece_ids", verify_col: str | None = None) -> DataFrame:
-    """``docs`` with column ``ids_col``, array<int>: the pieces of the whole text; with ``verify_col`` also whether decoding them gives the text back.
+def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "piece_ids", verify_col: str | None = None, search: str = "score") -> DataFrame:
+    """``docs`` with column ``ids_col``, array<int>: the pieces of the whole text; with ``verify_col`` also whether decoding them gives the text back, up to U+2581.
 
-    A null or empty text has no pieces.  All other columns pass through; one of the same name as a new
+    ``search``: 'score' takes the segmentation of greatest total score, 'merges' the one that a merge model's own library gives.
+    A null or empty text has no pieces, and an empty table gives no rows.  All other columns pass through; one of the same name as a new
     column is replaced.  U+2581 in a text is encoded as a space, as the model has it.  One narrow stage, no shuffle.
     """
     kept = docs.drop(*[c for c in (ids_col, verify_col) if c in docs.columns])
     schema = T.StructType([*kept.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), True))] + ([T.StructField(verify_col, T.BooleanType())] if verify_col else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model)
+        own = codec(model, search)
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             for lo, hi, part in mw.known_pieces(batch.column(at).fill_null("")):

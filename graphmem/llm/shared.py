@@ -6,13 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/graphmem"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a folder of this machine only where the session names none."""
+    """The folder named in ``spark.checkpoint.dir``; a folder of this machine only where the session names none and runs on this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     return (named or LOCAL_CHECKPOINTS).rstrip("/")
 
 
@@ -34,6 +37,12 @@ def discard(df: DataFrame) -> None:
         place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def first_bytes(rows: DataFrame, text: str, order: list, most: int) -> DataFrame:
+    """Of a bounded number of rows, those before ``most`` bytes of text are reached, in an order; the row that crosses the bound is the last."""
+    before = F.sum(F.octet_length(text)).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_before", before).where(F.coalesce("_before", F.lit(0)) < most).drop("_before")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -62,4 +71,6 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
         if tuple(now) == state:
             break
         state = tuple(now)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    out._written_path = e._written_path  # for ``discard``
+    return out

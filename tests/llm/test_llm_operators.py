@@ -277,7 +277,7 @@ def test_ids_are_those_of_the_library(spark):
 
     texts = [*odd_texts(2000, 4), None, "unbelievable thereupon", " " * 17 + "x", "def f(self):\n        return {'a': 1}"]
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    got = {r["doc_id"]: r for r in encode(table(spark, texts), MODEL, verify_col="same").collect()}
+    got = {r["doc_id"]: r for r in encode(table(spark, texts), MODEL, verify_col="same", search="merges").collect()}
     assert all(got[k]["piece_ids"] == model.encode(t or "") and got[k]["same"] for k, t in enumerate(texts))
 
 
@@ -290,6 +290,10 @@ def test_viterbi_is_best_and_round_trips(spark):
     assert encoded.columns == [*docs.columns, "piece_ids"]
     back = {r["doc_id"]: r["decoded"] for r in decode(encoded, MODEL).collect()}
     assert all(back[k] == (t or "").replace("▁", " ") for k, t in enumerate(texts))
+    named = docs.withColumnRenamed("lang", "piece_ids").withColumnRenamed("w", "same")
+    again = encode(named, MODEL, verify_col="same")
+    assert again.columns == [*[c for c in docs.columns if c not in ("lang", "w")], "piece_ids", "same"] and again.where("same").count() == len(texts)
+    assert encode(docs.limit(0), MODEL).count() == 0 and decode(encoded.limit(0), MODEL).count() == 0
     own = codec(MODEL)
 
     def best(word):
@@ -303,7 +307,7 @@ def test_viterbi_is_best_and_round_trips(spark):
 
     scores = {piece: hit[0] for piece, hit in own.endings.items() if hit}
     sample = sorted({" " + w for t in odd_texts(80, 9)[:80] for w in t.replace("▁", " ").split(" ") if "\n" not in w} | {" thereupon", " unbelievable", " the"})
-    for word, ids in zip(sample, own._by_score(sample), strict=True):
+    for word, ids in zip(sample, own.encode_sorted(sample), strict=True):
         total, k = 0.0, 0
         while k < len(ids):
             piece = own.spelled[own.spelled_at[ids[k]] : own.spelled_at[ids[k] + 1]].tobytes()
@@ -345,6 +349,40 @@ def test_quality_verdicts(spark):
     assert rows[3]["cleaned"] == clean and rows[1]["cleaned"] == ""
 
 
+def brute_verdict(t):
+    """Lost share and verdict of the line rules, word by word."""
+    from graphmem.llm.quality_rules import BOILERPLATE, BULLETS, ENDINGS
+
+    size = lost = 0
+    for line in (t or "").split("\n"):
+        w = words(line)
+        n, bytes_ = len(w), sum(len(x.encode()) for x in w)
+        signs = sum(c in "#*$%&<>" for c in line)
+        bad = n > 0 and (
+            (line.count("|") >= 3 and line.count("|") * 6 >= n)
+            or (signs > 2 and signs * 2 > n)
+            or (w[-1][-1] not in ENDINGS and not (w[0] in BULLETS or re.fullmatch("[0-9]+[.)]", w[0])) and sum(c in ".!?" for c in line) * 40 < n)
+            or (n <= 12 and bool(BOILERPLATE.search(line.encode())))
+        )
+        size, lost = size + bytes_, lost + bytes_ * bad
+    w = words(t)
+    windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    again = {j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    share = lost / max(1, size)
+    return share, not (len(w) < 20 or 100 * len(again) > 30 * len(w)) and share <= 0.5
+
+
+def test_quality_verdicts_by_brute_force(spark):
+    from graphmem.llm.quality_rules import quality_rules
+
+    rng = random.Random(12)
+    parts = ["", "a line of prose without an end", "a line of prose.", "« une ligne »", "ligne \u2026", "- an item", "12) an item", "12x) no item", "\u2022 an item", "a | b | c | d", "### $$$ x", "Read more about it", "word " * 90, "word. " + "word " * 30, "word. " + "word " * 60, "end\u3002", "caf\u00e9", "\t", "-", "1.", "privacy policy " + "x " * 20]
+    texts = ["\n".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(400)] + [None, "", "\n", "x" * 100_000 + " y" * 100_000]
+    got = {r["doc_id"]: (r["lost"], r["kept"]) for r in quality_rules(table(spark, texts)).collect()}
+    assert all(got[k] == brute_verdict(t) for k, t in enumerate(texts))
+    assert {k for _, k in got.values()} == {True, False} and quality_rules(table(spark, [])).count() == 0
+
+
 # --- 5 -------------------------------------------------------------------------------------------------------
 
 
@@ -363,6 +401,57 @@ def test_languages(spark, small):
     assert min((code[a] != code[b]).sum() for a in range(5) for b in range(a)) >= 5
 
 
+def test_language_decoder_by_a_loop():
+    """Features, weighted loss and decision of each text, number by number; ties are ambiguous and go to the first name."""
+    from graphmem.llm import language_id as li
+
+    rng = np.random.default_rng(4)
+    model = li.Model(["a", "b", "c"], li.codewords(3), rng.standard_normal((li.BUCKETS, li.BITS)).astype(np.float32) * 30, np.zeros(li.BITS), rng.random(li.BITS) + 0.1)
+    texts = ["Hello, W\u00f6rld 12", "z", "abc " * 3000, "123", ""]
+    names, score, second = li.predict(model, pa.array(texts))
+    for t, name, s, other in zip(texts, names, score, second, strict=True):
+        raw = [b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in t.encode()]
+        counts = Counter()
+        for k in (1, 2, 3):
+            for i in range(len(raw) - k + 1):
+                gram = 0
+                for b in raw[i : i + k]:
+                    gram = gram * 257 + b
+                counts[((gram + k) * 0x9E3779B1 >> 15) & (li.BUCKETS - 1)] += 1
+        total = max(1, sum(counts.values()))
+        margin = [sum(float(model.weights[g, j]) * n / total for g, n in counts.items()) for j in range(li.BITS)]
+        loss = [sum(model.trust[j] * np.log1p(np.exp(-margin[j] * code[j])) for j in range(li.BITS)) for code in model.codes]
+        p = np.exp(-np.array(loss)) / np.exp(-np.array(loss)).sum()
+        if any(c.isalpha() for c in t):
+            assert name == model.languages[int(p.argmax())] and s == pytest.approx(p.max(), abs=1e-4) and other == pytest.approx(np.sort(p)[-2], abs=1e-4)
+        else:
+            assert (name, s) == ("und", 0.0)
+    model.weights[:] = 0
+    assert li.predict(model, pa.array(["tie"]))[0] == ["a"]
+
+
+def test_trust_differs_and_decides():
+    from graphmem.llm import language_id as li
+
+    rng = random.Random(6)
+    texts, languages = [], []
+    for k in range(90):
+        own = ("the of and in", "le la de et", "der die und in")[k % 3].split()
+        texts.append(" ".join(rng.choice(own if rng.random() < 0.6 else ["xyz", "qua", "in"]) for _ in range(8)))
+        languages.append(("en", "fr", "de")[k % 3])
+    model = li.train(pa.array(texts), languages)
+    assert model.trust.std() > 0.01 and model.trust.mean() == pytest.approx(1)
+    # Two codewords that disagree in two bits, of which the classifiers give one to each: the trusted bit decides.
+    code = np.ones((2, li.BITS))
+    code[1, 0], code[0, 1] = -1, -1
+    weights, bias = np.zeros((li.BUCKETS, li.BITS), np.float32), np.zeros(li.BITS)
+    bias[:2] = 1.0  # bit 0 speaks for the first language, bit 1 for the second
+    for heavy, name in ((0, "a"), (1, "b")):
+        trust = np.ones(li.BITS)
+        trust[heavy] = 2
+        assert li.predict(li.Model(["a", "b"], code, weights, bias, trust), pa.array(["x"]))[0] == [name]
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------
 
 
