@@ -1,7 +1,8 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling.
 
-A word enters as its own hashed embedding and as characters: an embedding for each of its first bytes at their places,
-and one for its beginning.  Two recurrent passes run over windows of words that overlap and cover the whole text; attention
+A word enters as its own hashed embedding and as characters: the pooled embeddings of all its byte trigrams,
+and one for its beginning.  A word of many bytes, such as a text in a script without spaces, is split into overlapping pieces that each
+take a place of their own, so every byte is an input.  Two recurrent passes run over windows of words that overlap and cover the whole text; attention
 pools each window, and a document is as toxic as its most toxic window.  Training and scoring
 are numpy only.  Labels mark documents, not windows: after a first round on all windows, training
 takes from each toxic document only the windows that score highest.
@@ -17,15 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmem.llm import textarrays as ta
+from graphmem.llm.shared import first_bytes
 
 #: Words of a window, and from one window's start to the next one's.
 WINDOW, STRIDE = 32, 24
 WORD_ROWS, WORD_DIM = 4096, 12
-CHAR_PLACES, CHAR_DIM = 8, 6
+#: Bytes of a piece of a long word, and from one piece's start to the next one's; a multiple of 1, 2, 3 and 4, the bytes of a character.
+PIECE, STEP = 24, 12
+CHAR_ROWS, CHAR_DIM = 4096, 8
 HEAD_BYTES, HEAD_ROWS, HEAD_DIM = 4, 2048, 8
 HIDDEN = 10
 #: The most labelled documents of each label that training reads, in the order of a hash of their ids.
 MAX_PER_LABEL = 1800
+#: Bytes of text that training reads, the text that crosses the bound included.
+MAX_TRAINING_BYTES = 48 << 20
 #: Windows of a clean document in an epoch, and of a toxic one once it can score.
 CLEAN_WINDOWS, TOXIC_WINDOWS = 3, 2
 EPOCHS, BATCH, RATE = 9, 192, 0.02
@@ -45,20 +51,36 @@ class Words:
     def __init__(self, column: pa.Array):
         data, offs = ta.utf8(column)
         data = ta.ASCII_LOWER[data]
-        starts, ends, self.bounds = ta.words(data, offs, APART)
+        starts, ends, bounds = ta.words(data, offs, APART)
+        each = 1 + np.maximum(0, -(-(ends - starts - PIECE) // STEP))
+        before = np.concatenate(([0], np.cumsum(each)))
+        self.bounds = before[bounds]
+        shift = (np.arange(before[-1]) - np.repeat(before[:-1], each)) * STEP
+        starts, ends = np.repeat(starts, each) + shift, np.repeat(ends, each)
+        ends = np.minimum(ends, starts + PIECE)
         hashes, at, index = np.unique(ta.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         self.index = index + 1
-        size = (ends - starts)[at]
-        place = np.arange(CHAR_PLACES)
-        padded = np.concatenate((data, np.zeros(CHAR_PLACES, np.uint8)))
-        chars = np.where(place < size[:, None], padded[starts[at][:, None] + place], 0).astype(np.int64)
+        size, first = (ends - starts)[at], starts[at]
+        self.word = np.concatenate(([0], (hashes % np.uint64(WORD_ROWS)).astype(np.int64)))
+        #: Trigrams of each word, one around each byte; 1 and 2 stand for its ends.
+        self.grams_at = np.concatenate(([0, 0], np.cumsum(size)))
+        place = np.arange(int(size.sum())) - np.repeat(self.grams_at[1:-1], size)
+        middle = np.repeat(first, size) + place
+        padded = np.concatenate((data, np.zeros(HEAD_BYTES, np.uint8))).astype(np.uint64)
+        left = np.where(place > 0, padded[middle - 1], 1)
+        right = np.where(place < np.repeat(size, size) - 1, padded[middle + 1], 2)
+        self.grams = (ta.mix(left * np.uint64(65536) + padded[middle] * np.uint64(256) + right) % np.uint64(CHAR_ROWS)).astype(np.int64)
         head = np.zeros(len(at), np.uint64)
         for k in range(HEAD_BYTES):
-            head = head * np.uint64(257) + chars[:, k].astype(np.uint64)
-        self.word = np.concatenate(([0], (hashes % np.uint64(WORD_ROWS)).astype(np.int64)))
-        self.chars = np.concatenate((np.zeros((1, CHAR_PLACES), np.int64), chars))
+            head = head * np.uint64(257) + np.where(k < size, padded[first + k], 0)
         self.head = np.concatenate(([0], (ta.mix(head) % np.uint64(HEAD_ROWS)).astype(np.int64)))
 
+    def grams_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The trigrams of some words, one word after the other, and the number of each word's."""
+        size = self.grams_at[rows + 1] - self.grams_at[rows]
+        before = np.cumsum(size) - size
+        return self.grams[np.repeat(self.grams_at[rows] - before, size) + np.arange(int(size.sum()))], size
+
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words of each window (0: none), and the window's text; every text has one at least."""
         count = np.diff(self.bounds)
@@ -81,15 +103,19 @@ class Network:
         def normal(*shape: int, scale: float) -> np.ndarray:
             return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-        self.p = {"word": normal(WORD_ROWS, WORD_DIM, scale=0.3), "char": normal(CHAR_PLACES * 256, CHAR_DIM, scale=0.2), "head": normal(HEAD_ROWS, HEAD_DIM, scale=0.3), "look": normal(2 * HIDDEN, scale=0.3), "out": normal(2 * HIDDEN, scale=0.5), "bias": np.zeros(1, np.float32)}
+        self.p = {"word": normal(WORD_ROWS, WORD_DIM, scale=0.3), "char": normal(CHAR_ROWS, CHAR_DIM, scale=0.3), "head": normal(HEAD_ROWS, HEAD_DIM, scale=0.3), "look": normal(2 * HIDDEN, scale=0.3), "out": normal(2 * HIDDEN, scale=0.5), "bias": np.zeros(1, np.float32)}
         for d in "fb":
             self.p |= {f"in_{d}": normal(inputs, 3 * HIDDEN, scale=inputs**-0.5), f"gate_{d}": normal(HIDDEN, 2 * HIDDEN, scale=HIDDEN**-0.5), f"new_{d}": normal(HIDDEN, HIDDEN, scale=HIDDEN**-0.5), f"shift_{d}": np.zeros(3 * HIDDEN, np.float32)}
         #: From the greatest logit of a document's windows to its own.
         self.slope, self.offset = 1.0, 0.0
 
-    def inputs(self, w: Words, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
-        chars = self.p["char"][w.chars[rows] + np.arange(CHAR_PLACES) * 256]
-        return np.concatenate((self.p["word"][w.word[rows]], chars.sum(1), self.p["head"][w.head[rows]]), 1)
+    def inputs(self, w: Words, rows: np.ndarray) -> np.ndarray:
+        grams, size = w.grams_of(rows)
+        chars = np.zeros((len(rows), CHAR_DIM), self.p["char"].dtype)
+        full = np.flatnonzero(size)
+        if len(full):
+            chars[full] = np.add.reduceat(self.p["char"][grams], (np.cumsum(size) - size)[full]) / np.sqrt(size[full], dtype=chars.dtype)[:, None]
+        return np.concatenate((self.p["word"][w.word[rows]], chars, self.p["head"][w.head[rows]]), 1)
 
     def _pass(self, d: str, table: np.ndarray, numbers: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
         """States after each word in one direction; words are rows of ``table``."""
@@ -160,8 +186,9 @@ class Network:
         for name, index, part in (("word", w.word[rows], d_x[:, :WORD_DIM]), ("head", w.head[rows], d_x[:, WORD_DIM + CHAR_DIM :])):
             g[name] = np.zeros_like(self.p[name])
             np.add.at(g[name], index, part)
+        grams, size = w.grams_of(rows)
         g["char"] = np.zeros_like(self.p["char"])
-        np.add.at(g["char"], w.chars[rows] + np.arange(CHAR_PLACES) * 256, d_x[:, None, WORD_DIM : WORD_DIM + CHAR_DIM])
+        np.add.at(g["char"], grams, np.repeat(d_x[:, WORD_DIM : WORD_DIM + CHAR_DIM] / np.sqrt(np.maximum(1, size))[:, None], size, axis=0).astype(g["char"].dtype))
         return g
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -220,14 +247,16 @@ def _calibrate(net: Network, top: np.ndarray, toxic: np.ndarray) -> None:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network | None:
-    """Trains on at most ``max_per_label`` labelled documents of each label; None if a label has none.
+    """Trains on at most ``max_per_label`` labelled documents of each label, and on ``MAX_TRAINING_BYTES`` of their text; None if a label has none.
 
-    ``labels`` may name a document more than once (toxic if any row says so), and documents that aren't there.
+    ``labels`` may name a document more than once (toxic if any row says so); documents that aren't there don't count.
     """
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("marked_id")).agg(F.max(F.col(label_col).cast("int")).alias("marked"))
+    there = docs.select(F.col(id_col).alias("there_id")).join(marked, F.col("there_id") == F.col("marked_id")).groupBy("marked_id").agg(F.max("marked").alias("marked"))
     order = [F.xxhash64("marked_id"), F.col("marked_id")]
-    chosen = marked.where("marked = 1").orderBy(*order).limit(max_per_label).unionByName(marked.where("marked = 0").orderBy(*order).limit(max_per_label))
-    got = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("marked_id")).select("doc_id", "text", "marked").orderBy("doc_id", "text").limit(2 * max_per_label).toArrow()
+    chosen = there.where("marked = 1").orderBy(*order).limit(max_per_label).unionByName(there.where("marked = 0").orderBy(*order).limit(max_per_label))
+    got = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("marked_id")).select("doc_id", "text", "marked").orderBy("doc_id", "text").limit(2 * max_per_label)
+    got = first_bytes(got, "text", [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")], MAX_TRAINING_BYTES).orderBy("doc_id", "text").toArrow()
     toxic = got.column("marked").to_numpy() if got.num_rows else np.zeros(0, np.int64)
     if not (toxic == 1).any() or not (toxic == 0).any():
         return None
@@ -237,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL,
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score`` of each row: 0 to 1, the higher the likelier toxic, from all windows of the whole text.
 
-    A null or empty text has the score of a window without words.  Without a network all scores are 0.
+    A null or empty text has the score of a window without words.  Without a network all scores are 0; an empty table gives no rows.
     Ids may be null or repeat; other columns are not read.  One narrow stage, memory bounded by a batch or one text.
     """
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

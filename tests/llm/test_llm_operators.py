@@ -602,6 +602,63 @@ def test_windows_cover_all_words():
         assert set(numbers[text == i].ravel()) - {0} == set(w.index[w.bounds[i] : w.bounds[i + 1]])
 
 
+def test_score_by_a_plain_loop():
+    """The score of whole texts, word by word, window by window and step by step."""
+    from graphmem.llm import toxicity as tx
+    from graphmem.llm.textarrays import mix, span_hashes
+
+    net = tx.Network(3)
+    net.slope, net.offset = 0.7, -0.2
+    p, sigmoid = {k: v.astype(np.float64) for k, v in net.p.items()}, lambda x: 1 / (1 + np.exp(-x))
+    texts = ["One two, THREE four-five", "", "w " * 70 + "last", "\u6f22\u5b57" * 40, "x" * 25 + " y"]
+
+    def entry(piece):
+        row = int(span_hashes(np.frombuffer(piece, np.uint8), np.array([0]), np.array([len(piece)]))[0]) % tx.WORD_ROWS
+        framed, chars, head = bytes([1]) + piece + bytes([2]), np.zeros(tx.CHAR_DIM), 0
+        for i in range(len(piece)):
+            a, b, c = framed[i : i + 3]
+            chars += p["char"][int(mix(np.array([a * 65536 + b * 256 + c], np.uint64))[0]) % tx.CHAR_ROWS]
+        for b in [*piece[: tx.HEAD_BYTES], 0, 0, 0, 0][: tx.HEAD_BYTES]:
+            head = head * 257 + b
+        return np.concatenate((p["word"][row], chars / len(piece) ** 0.5, p["head"][int(mix(np.array([head], np.uint64))[0]) % tx.HEAD_ROWS]))
+
+    def logit(window):
+        if not window:
+            return float(p["bias"][0]) + 0.0
+        states = []
+        for d, order in (("f", window), ("b", window[::-1])):
+            h, out = np.zeros(tx.HIDDEN), []
+            for x in order:
+                a = x @ p[f"in_{d}"] + p[f"shift_{d}"]
+                zr = sigmoid(a[: 2 * tx.HIDDEN] + h @ p[f"gate_{d}"])
+                z, r = zr[: tx.HIDDEN], zr[tx.HIDDEN :]
+                c = np.tanh(a[2 * tx.HIDDEN :] + (r * h) @ p[f"new_{d}"])
+                h = c + z * (h - c)
+                out.append(h)
+            states.append(out if d == "f" else out[::-1])
+        both = np.array([np.concatenate(x) for x in zip(*states, strict=True)])
+        share = np.exp(both @ p["look"])
+        return float((share / share.sum()) @ both @ p["out"] + p["bias"][0])
+
+    expected = []
+    for t in texts:
+        raw = re.findall(rb"[0-9a-zA-Z\x80-\xff]+", t.encode())
+        pieces = [x.lower()[i : i + tx.PIECE] for x in raw for i in range(0, max(1, len(x) - tx.PIECE + tx.STEP), tx.STEP)]
+        rows = [entry(x) for x in pieces]
+        windows = [rows[i : i + tx.WINDOW] for i in range(0, max(1, len(rows) - tx.WINDOW + tx.STRIDE), tx.STRIDE)]
+        expected.append(sigmoid(net.slope * max(map(logit, windows)) + net.offset))
+    assert net.scores(pa.array(texts)) == pytest.approx(expected, abs=1e-4)
+
+
+def test_every_byte_is_an_input():
+    """A passage far into a text without spaces changes the inputs of its own piece."""
+    from graphmem.llm.toxicity import Words
+
+    calm, loud = "\u5e73\u548c" * 300, "\u5e73\u548c" * 200 + "\u9a82\u4eba\u8bdd" + "\u5e73\u548c" * 98
+    a, b = Words(pa.array([calm])), Words(pa.array([loud]))
+    assert len(a.windows()[0]) > 1 and set(b.word) - set(a.word) and set(b.grams) - set(a.grams)
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = registered.op1_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out and toxic is not null").collect()
@@ -620,6 +677,8 @@ def test_toxicity_edge_cases(spark):
     assert len(rows) == len(texts) and all(0 <= r["score"] <= 1 for r in rows)
     kept = without_toxic(docs, net)
     assert kept.columns == docs.columns and {r["text"] for r in kept.collect()} >= {"a fine day"} and "you idiot" not in {r["text"] for r in kept.collect()}
+    absent = spark.createDataFrame([(k, int(k % 2)) for k in range(1000, 9000)], "doc_id long, toxic int")
+    assert fit(docs, labels.unionByName(absent)) is not None and score(docs.limit(0), net).count() == 0
     assert fit(docs, labels.limit(0)) is None and {r["score"] for r in score(docs, None).collect()} == {0.0}
 
 
