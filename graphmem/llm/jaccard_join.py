@@ -6,8 +6,11 @@ size-derived bounds keep it small without losing a pair:
 * a document of n n-grams can only link if fewer than n - ceil(t n) + 1 of them are its own alone; merged
   count-min sketches (``sketch.py``) bound from above how many documents hold each;
 * with n-grams in one global order, rarest first, linked documents share one of their first
-  n - ceil(t n) + 1; documents that share such an n-gram, however remotely, form a class;
-* inside a class the product runs over tiles of documents and blocks of columns; after each block, pairs
+  n - ceil(t n) + 1; documents that share such an n-gram, however remotely, form a class, and a class that fits a tile is one tile;
+* a larger class is cut up by the n-grams that hold it together: documents of an n-gram that few hold are paired one by one,
+  within the bound on sizes, and each pair goes to a tile of one document and its partners; documents of n-grams that many hold form
+  classes of their own, whose tiles meet in pairs.  So a chain of documents that only neighbours link stays as long as it is;
+* in a tile the product runs over blocks of columns; after each block, pairs
   whose count and remaining columns can't reach t (a + b) / (1 + t) are discarded.
 
 Exact copies of a set are one row of the matrix.  A tile returns a spanning forest of its links
@@ -26,13 +29,17 @@ from pyspark.sql import functions as F
 
 from graphmem.llm import sketch
 from graphmem.llm import textarrays as ta
-from graphmem.llm.shared import connected_components, written
+from graphmem.llm.shared import connected_components, discard, written
 
 BYTES_PER_WORD = 4
 BATCH_BYTES = 2 << 20
 #: Documents of a tile, n-grams of a tile, and columns of a block.
 TILE_DOCS, TILE_KEYS, BLOCK_COLUMNS = 384, 500_000, 4096
-SETS = "doc_id long, n_shingles long, set_high long, set_low long"
+#: In a class of several tiles, the documents of an n-gram that so many hold at most are paired one by one.
+LIGHT = 32
+#: Parts that the documents of an n-gram are counted in, so that one that very many hold isn't one task.
+SALTS = 64
+SETS = "doc_id long, row_key long, n_shingles long, set_high long, set_low long"
 ROWS = "doc_id long, copies long, n long, tokens array<long>, keys binary"
 LINKS = "a long, b long, degree long"
 
@@ -53,36 +60,38 @@ def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, int]:
     return *ta.per_text_distinct(keys, text), len(count)
 
 
-def _set_table(ids: pa.Array, column: pa.Array, size: int) -> pa.RecordBatch:
+def _set_table(ids: pa.Array, row_keys: pa.Array, column: pa.Array, size: int) -> pa.RecordBatch:
     keys, text, n = shingles(column, size)
     at = np.searchsorted(text, np.arange(n + 1))
     halves = []
     for salt in (0, 0x9E3779B97F4A7C15):
         before = np.concatenate((np.zeros(1, np.uint64), np.cumsum(ta.mix(keys ^ np.uint64(salt)), dtype=np.uint64)))
         halves.append((before[at[1:]] - before[at[:-1]]).view(np.int64))
-    return pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at), pa.int64()), *(pa.array(h, pa.int64()) for h in halves)], names=["doc_id", "n_shingles", "set_high", "set_low"])
+    return pa.RecordBatch.from_arrays([ids, row_keys, pa.array(np.diff(at), pa.int64()), *(pa.array(h, pa.int64()) for h in halves)], names=["doc_id", "row_key", "n_shingles", "set_high", "set_low"])
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id``, the size of the document's set, and 128 bits that tell its set from others."""
+    """``doc_id``, a hash of id and text, the size of the document's set, and 128 bits that tell its set from others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text").fill_null("")
             for lo, hi in ta.pieces(ta.utf8(column)[1], BATCH_BYTES):
-                yield _set_table(batch.column("doc_id").slice(lo, hi - lo), column.slice(lo, hi - lo), size)
+                yield _set_table(batch.column("doc_id").slice(lo, hi - lo), batch.column("row_key").slice(lo, hi - lo), column.slice(lo, hi - lo), size)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SETS)
+    return docs.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text")).alias("row_key"), "text").mapInArrow(run, SETS)
 
 
 def _chosen(table: pa.Table, reps: pa.Table) -> tuple[pa.Table, np.ndarray]:
-    """The rows of representatives, in the order of their ids, and how many copies each stands for."""
-    order = np.argsort(ids := reps.column("doc_id").to_numpy(), kind="stable")
-    ids, copies = ids[order], reps.column("copies").to_numpy()[order]
-    mine = table.column("doc_id").fill_null(-1).to_numpy()
-    at = np.minimum(np.searchsorted(ids, mine), max(0, len(ids) - 1))
-    hit = np.flatnonzero((ids[at] == mine) & table.column("doc_id").is_valid().to_numpy()) if len(ids) else np.zeros(0, np.int64)
-    return table.take(pa.array(hit)), copies[at[hit]] if len(hit) else np.zeros(0, np.int64)
+    """A row for each representative, found by its key, and how many copies it stands for."""
+    order = np.argsort(keys := reps.column("row_key").to_numpy(), kind="stable")
+    keys, copies = keys[order], reps.column("copies").to_numpy()[order]
+    if not len(keys) or not table.num_rows:
+        return table.slice(0, 0), np.zeros(0, np.int64)
+    mine, first = np.unique(table.column("row_key").to_numpy(), return_index=True)
+    at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+    hit = keys[at] == mine
+    return table.take(pa.array(first[hit])), copies[at[hit]]
 
 
 def _group_shingles(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -183,18 +192,18 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str
     with nothing.  ``component_id``: the smallest id that links reach, the document's own included; ``n_links``: how
     many documents it links with, exact copies counted.  All links are found.
 
-    Rows of equal id are one node of the graph.  A row without an id links with nothing and its ``component_id`` is null.
+    Ids must be whole numbers, or text that reads as one.  Rows of equal id are one node of the graph; an empty table gives no rows.  A row without an id links with nothing and its ``component_id`` is null.
     Other columns are not read.  ``percent`` is from 1 to 100.
     """
     doc = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = written(shingle_sets(doc, size), "sets")
     kind = ["n_shingles", "set_high", "set_low"]
-    classes = written(sets.where("n_shingles > 0 and doc_id is not null").groupBy(*kind).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy(*kind).agg(F.min(F.struct("doc_id", "row_key")).alias("least"), F.count("*").alias("copies"))
+    classes = written(classes.select(*kind, F.col("least.doc_id").alias("rep"), F.col("least.row_key").alias("row_key"), "copies"), "classes")
 
     layout = sketch.Layout(doc, "text", BYTES_PER_WORD)
-    dealt = layout.dealt(doc, "doc_id")
-    group = F.pmod(F.xxhash64("doc_id"), F.lit(layout.groups).cast("long"))
-    reps = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.sum("copies").alias("copies")).withColumn("grp", group)
+    dealt = layout.dealt(doc, "doc_id", "text")
+    reps = classes.select("row_key", "copies", layout.group(F.col("row_key")).alias("grp"))
 
     def sketched(table: pa.Table, chosen: pa.Table) -> pa.Table:
         own, _ = _chosen(table, chosen)
@@ -208,21 +217,14 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str
         return _rows(own, copies, layout, answers, size, percent)
 
     answers = sketch.merged(dealt.groupBy("grp").cogroup(reps.groupBy("grp")).applyInArrow(sketched, sketch.SENT))
-    replies = answers.select("grp", "block", "totals", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("copies")).unionByName(
-        reps.select("grp", F.lit(None).cast("int").alias("block"), F.lit(None).cast("array<binary>").alias("totals"), "doc_id", "copies")
+    replies = answers.select("grp", "block", "totals", F.lit(None).cast("long").alias("row_key"), F.lit(None).cast("long").alias("copies")).unionByName(
+        reps.select("grp", F.lit(None).cast("int").alias("block"), F.lit(None).cast("array<binary>").alias("totals"), "row_key", "copies")
     )
     matrix = written(dealt.groupBy("grp").cogroup(replies.groupBy("grp")).applyInArrow(rows, ROWS), "matrix")
-
-    tokens = matrix.select("doc_id", F.explode("tokens").alias("token"))
-    heads = tokens.groupBy("token").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    candidates = connected_components(tokens.join(heads, "token").select("doc_id", "head"), "doc_id", "head")
-    placed = matrix.select("doc_id", "copies", "n", "keys").join(candidates.withColumnRenamed("node", "doc_id"), "doc_id")
-    sizes = candidates.join(matrix.select(F.col("doc_id").alias("node"), "n"), "node").groupBy("component").agg(F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum("n") / TILE_KEYS)).cast("int").alias("tiles"))
-    tiled = placed.join(sizes, "component").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select("component", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "doc_id", "copies", "tile", "keys")
-    # Dealt anew: what the join leaves is dealt by component, and a large class has many pairs of tiles.
-    links = written(tiled.repartition("component", "i", "j").groupBy("component", "i", "j").applyInArrow(lambda key, table: _tile(key, table, percent), LINKS), "links")
+    tiled, scratch = _tiles(matrix, percent)
+    # Dealt anew: a large class has many pairs of tiles.
+    key = ["component", "i", "j", "salt"]
+    links = written(tiled.repartition(*key).groupBy(*key).applyInArrow(lambda key, table: _tile(key, table, percent), LINKS), "links")
 
     joined = connected_components(links.where("b is not null"))
     degrees = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("degree").alias("degree"))
@@ -230,7 +232,60 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str
     known = known.select(*[F.col(c).alias(f"of_{c}") for c in kind], F.coalesce("component", "rep").alias("component"), (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("links"))
     same = [sets[c] == known[f"of_{c}"] for c in kind]
     out = sets.join(known, [*same, sets["doc_id"].isNotNull()], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
+    out = written(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links")), "joined")
+    for df in (sets, classes, matrix, links, joined, *scratch):
+        discard(df)
+    return out
+
+
+def _tiles(matrix: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows of the tiles to multiply, ``component, i, j, salt, doc_id, copies, tile, keys``, and the scratch tables they are read from."""
+    tokens = matrix.select("doc_id", F.explode("tokens").alias("token")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    parts = tokens.groupBy("token", "part").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    heads = parts.groupBy("token").agg(F.min("first").alias("head"), F.sum("n").alias("holders")).where("holders > 1")
+    near = written(tokens.join(parts.drop("n").join(heads, "token"), ["token", "part"]).select("doc_id", "token", "first", "head", "holders"), "near")
+
+    def classes(rows: DataFrame) -> DataFrame:
+        return connected_components(rows.select("doc_id", F.col("first").alias("other")).unionByName(rows.select(F.col("first").alias("doc_id"), F.col("head").alias("other"))), "doc_id", "other")
+
+    def sized(members: DataFrame) -> DataFrame:
+        own = members.join(matrix.select(F.col("doc_id").alias("node"), "n"), "node").groupBy("component")
+        return own.agg(F.greatest(F.ceil(F.count("*") / TILE_DOCS), F.ceil(F.sum("n") / TILE_KEYS)).cast("int").alias("tiles"))
+
+    whole = classes(near)
+    sizes = written(sized(whole), "sizes")
+    scratch = [near, whole, sizes]
+    placed = matrix.select("doc_id", "copies", "keys")
+    own, stars = whole.join(sizes.where("tiles = 1"), "component"), None
+    large = sizes.where("tiles > 1").select("component")
+    if large.limit(1).count():
+        inside = near.join(whole.join(large, "component", "left_semi").select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+        heavy = classes(inside.where(F.col("holders") > LIGHT))
+        heavy_sizes = written(sized(heavy), "sizes")
+        pairs = written(_pairs(inside.where(F.col("holders") <= LIGHT), matrix, heavy, percent), "pairs")
+        scratch += [heavy, heavy_sizes, pairs]
+        own = own.unionByName(heavy.join(heavy_sizes, "component"))
+        # A document and its partners are one tile, or several where the partners hold many n-grams.
+        salts = pairs.groupBy("a").agg(F.ceil(F.sum("n") / TILE_KEYS).alias("salts"))
+        each = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+        of = [F.col("a").alias("component"), F.lit(0).alias("i"), F.lit(1).alias("j"), (F.col("salt") + 1).alias("salt")]
+        ends = each.select(*of, F.col("b").alias("doc_id"), F.lit(1).alias("tile")).unionByName(each.select(*of, F.col("a").alias("doc_id"), F.lit(0).alias("tile")).distinct())
+        stars = ends.join(placed, "doc_id")
+    tiled = placed.join(own.withColumnRenamed("node", "doc_id"), "doc_id").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    columns = ["component", "i", "j", "salt", "doc_id", "copies", "tile", "keys"]
+    tiled = tiled.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).withColumn("salt", F.lit(0).cast("long")).select(*columns)
+    return (tiled if stars is None else tiled.unionByName(stars.select(*columns))), scratch
+
+
+def _pairs(light: DataFrame, matrix: DataFrame, heavy: DataFrame, percent: int) -> DataFrame:
+    """``a, b, n``: each pair of documents that share a light n-gram, whose sizes allow a link and that no class of heavy ones holds together; ``n`` is b's size."""
+    known = light.select("token", "doc_id").join(matrix.select("doc_id", "n"), "doc_id").join(heavy.select(F.col("node").alias("doc_id"), F.col("component").alias("heavy")), "doc_id", "left")
+    held = known.groupBy("token").agg(F.collect_list(F.struct("doc_id", "n", "heavy")).alias("held"))  # LIGHT at most
+    both = F.expr(f"""flatten(transform(held, x -> transform(
+        filter(held, y -> x.doc_id < y.doc_id and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and not coalesce(x.heavy = y.heavy, false)),
+        y -> named_struct('a', x.doc_id, 'b', y.doc_id, 'n', y.n))))""")
+    return held.select(F.explode_outer(both).alias("pair")).where("pair is not null").select("pair.*").distinct()
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

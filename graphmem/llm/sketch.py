@@ -1,6 +1,6 @@
 """Merged count-min sketches of keys that documents hold, as exchanged tables.
 
-Documents are dealt into groups by a hash of their id.  A group adds each distinct key
+Documents are dealt into groups by a hash of their id and text.  A group adds each distinct key
 of each of its documents to a sketch of its own and sends the cells in use, sorted
 and cut into blocks.  The tasks that own the blocks add up the sketches of all groups and
 answer each group with the total of every cell it sent.  The least total over the
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphmem.llm.shared import shuffle_partitions
@@ -21,8 +21,8 @@ from graphmem.llm.textarrays import U64, mix, pack, unpack
 
 #: Rows of the sketch, and cells a row has for each expected key.
 DEPTH, CELLS_PER_KEY = 2, 16
-#: Bytes of text in a group, about.
-GROUP_BYTES = 1_500_000
+#: Bytes of text in a group, about: at least so many, and a share of an executor's memory, as a group is held with its hashes.
+GROUP_BYTES, GROUP_SHARE, MOST_GROUP_BYTES = 1_500_000, 2000, 64_000_000
 #: Keys that a block gets at least, if there are so many: a group's message to a block shouldn't be a few keys.
 BLOCK_KEYS = 100_000
 SENT = "grp long, block int, cells array<binary>, counts array<binary>"
@@ -36,13 +36,23 @@ class Layout:
     def __init__(self, df: DataFrame, text: str, key_bytes: float):
         n = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
         parts = shuffle_partitions(df.sparkSession)
-        self.groups = max(2 * parts, -(-n // GROUP_BYTES))
+        memory = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(df.sparkSession.sparkContext.getConf().get("spark.executor.memory", "1g"))
+        size = min(MOST_GROUP_BYTES, max(GROUP_BYTES, memory // GROUP_SHARE))
+        self.groups = max(2 * parts, -(-n // size))
         self.blocks = max(1, min(2 * parts, int(n / key_bytes / BLOCK_KEYS)))
         self.bits = max(32, int(CELLS_PER_KEY * n / key_bytes).bit_length())
 
-    def dealt(self, df: DataFrame, key: str) -> DataFrame:
-        """With column ``grp``, each group whole in one partition."""
-        return df.withColumn("grp", F.pmod(F.xxhash64(key), F.lit(self.groups).cast("long"))).repartition("grp")
+    def group(self, key: Column) -> Column:
+        return F.pmod(key, F.lit(self.groups).cast("long"))
+
+    def dealt(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """With columns ``row_key``, a hash of id and text, and ``grp``, each group whole in one partition.
+
+        Rows of one id are dealt by their texts; rows without an id, which take part in nothing, anywhere.
+        """
+        key = F.xxhash64(id_col, F.xxhash64(text_col))
+        spread = F.when(F.col(id_col).isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(key)
+        return df.withColumn("row_key", key).withColumn("grp", self.group(spread)).repartition("grp")
 
     def cells(self, keys: np.ndarray, row: int) -> np.ndarray:
         return (keys if row == 0 else mix(keys ^ _SALTS[row])) >> U64(64 - self.bits)

@@ -150,11 +150,11 @@ def substring_dedup(docs: DataFrame, size: int = 13, id_col: str = "doc_id", tex
     A null or empty text has no words and ``kept`` is empty.  Texts of fewer than ``size`` words
     lose nothing.  Rows of equal id are copies of one document: neither loses words to the
     other.  A row without an id keeps its whole text and takes nothing from others.
-    Windows are judged on the input, not on what is left.
+    Windows are judged on the input, not on what is left.  Ids must be whole numbers, or text that reads as one; an empty table gives no rows.
     """
     doc = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (text_col,)] or [F.lit(1).alias("none")]).alias("rest"))
     layout = sketch.Layout(doc, "text", BYTES_PER_WORD)
-    doc = layout.dealt(doc, "doc_id")
+    doc = layout.dealt(doc, "doc_id", "text").drop("row_key")
 
     def sketched(table: pa.Table) -> pa.Table:
         return sketch.send(layout, table.column("grp")[0].as_py(), _Windows(table, size).keys())

@@ -140,8 +140,43 @@ def test_jaccard_tiles(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE_DOCS", 5)
     monkeypatch.setattr(jaccard_join, "BLOCK_COLUMNS", 32)
     texts = corpus(5)
-    got = jaccard_join.jaccard_join(table(spark, texts), 3, 80).collect()
-    assert Counter(map(tuple, got)) == Counter(brute_jaccard(list(enumerate(texts)), 3, 80))
+    expected = Counter(brute_jaccard(list(enumerate(texts)), 3, 80))
+    for light in (32, 4, 1):  # documents of few, or of no n-grams are paired one by one
+        monkeypatch.setattr(jaccard_join, "LIGHT", light)
+        assert Counter(map(tuple, jaccard_join.jaccard_join(table(spark, texts), 3, 80).collect())) == expected
+
+
+def test_jaccard_chain(spark, monkeypatch):
+    """Each text shares its rare shingles with the next one: one class, but as many pairs as texts."""
+    from graphmem.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "TILE_DOCS", 16)
+    tiles, sizes = jaccard_join._tiles, []
+
+    def counted(*a):
+        tiled, scratch = tiles(*a)
+        sizes.append(tiled.count())
+        return tiled, scratch
+
+    monkeypatch.setattr(jaccard_join, "_tiles", counted)
+    texts = [f"l{k} m{k} n{k} l{k + 1} m{k + 1} n{k + 1}" for k in range(200)]
+    got = jaccard_join.jaccard_join(table(spark, texts), 3, 10).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_jaccard(list(enumerate(texts)), 3, 10))
+    assert len({r["component_id"] for r in got}) == 1 and sizes[0] <= 2 * len(texts)
+
+
+def test_rows_without_ids_are_spread(spark):
+    from graphmem.llm import sketch
+    from graphmem.llm.jaccard_join import jaccard_join
+    from graphmem.llm.substring_dedup import substring_dedup
+
+    docs = spark.range(5000).selectExpr("cast(null as long) as doc_id", "'same text of some words' as text").unionByName(spark.range(3).selectExpr("id as doc_id", "'same text of some words' as text"))
+    layout = sketch.Layout(docs, "text", 4)
+    dealt = layout.dealt(docs, "doc_id", "text").groupBy("grp").count().collect()
+    assert len(dealt) == layout.groups and max(r["count"] for r in dealt) < 2 * 5000 / layout.groups
+    found = jaccard_join(docs, 3, 90)
+    assert found.where("doc_id is null").count() == 5000 and {tuple(r) for r in found.where("doc_id is not null").collect()} == {(k, 3, 0, 2) for k in range(3)}
+    assert substring_dedup(docs, 3).where("n_removed > 0").count() == 2
 
 
 def test_one_of_each(spark):
