@@ -46,7 +46,7 @@ def clusters(labels: DataFrame) -> DataFrame:
 
 
 def community_of_member(has_member: DataFrame) -> DataFrame:
-    """``node_uuid, community_uuid``: the first community of each member, the smallest uuid."""
+    """``node_uuid, community_uuid``: the first community of each member, the smallest uuid; a member is an entity or a community."""
     return has_member.groupBy(F.col("target_node_uuid").alias("node_uuid")).agg(F.min("source_node_uuid").alias("community_uuid"))
 
 

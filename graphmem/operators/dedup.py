@@ -11,6 +11,8 @@ from graphmem.functions import hashed, text, vector
 from graphmem.sources.scratch import discard, written
 
 LEAST_JACCARD, OVERLAP_COSINE = 0.9, 0.6
+#: Facts of a pool, and parts that a group's edges are dealt into to be searched.
+POOL, BLOCKS = 10, 16
 
 
 def first_of(rows: DataFrame, keys: list, order: list) -> DataFrame:
@@ -70,6 +72,37 @@ def edge_candidates(edges: DataFrame, embedding: str = "fact_embedding") -> Data
     return both.where(F.arrays_overlap("w", "ow") | F.coalesce(vector.cosine(F.col("v"), F.col("ov")) >= OVERLAP_COSINE, F.lit(False))).select("uuid", "other")
 
 
+def edge_pools(new: DataFrame, known: DataFrame, limit: int = POOL, blocks: int = BLOCKS) -> DataFrame:
+    """``uuid, fact, related, existing`` of each new edge: arrays of ``uuid, fact``, best first, ``limit`` at most.
+
+    Facts of the group are ranked by cosine over 0.6 and by shared words, and the reciprocal ranks added.  ``related``: the best
+    with the same endpoints; ``existing``: the best of all, without those that are related.  New edges are few; the
+    group's edges are dealt into blocks that each new edge goes to, and a block passes on twice the limit of each list.
+    """
+    a = new.select("uuid", "group_id", F.col("source_node_uuid").alias("s"), F.col("target_node_uuid").alias("t"), text.tokens(F.col("fact")).alias("w"), F.col("fact_embedding").alias("v"))
+    b = known.select(F.col("uuid").alias("other"), "group_id", F.col("source_node_uuid").alias("os"), F.col("target_node_uuid").alias("ot"), F.col("fact").alias("other_fact"), text.tokens(F.col("fact")).alias("ow"), F.col("fact_embedding").alias("ov"))
+    b = b.withColumn("block", F.pmod(F.xxhash64("other"), F.lit(blocks)).cast("int"))
+    both = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(b, ["group_id", "block"]).where("uuid <> other")
+    scored = both.select("uuid", "block", "other", "other_fact", ((F.col("s") == F.col("os")) & (F.col("t") == F.col("ot"))).alias("pair"), F.coalesce(vector.cosine(F.col("v"), F.col("ov")), F.lit(0.0)).alias("cosine"), F.size(F.array_intersect("w", "ow")).alias("words"))
+    scored = scored.where((F.col("words") > 0) | (F.col("cosine") > OVERLAP_COSINE) | F.col("pair"))
+    near, like = F.col("cosine") > OVERLAP_COSINE, F.col("words") > 0
+
+    def rank(*key: str, by: str):
+        return F.row_number().over(Window.partitionBy(*key).orderBy(F.col(by).desc(), "other"))
+
+    few = scored.withColumn("rc", rank("uuid", "block", by="cosine")).withColumn("rw", rank("uuid", "block", by="words")).withColumn("rp", F.row_number().over(Window.partitionBy("uuid", "block", "pair").orderBy(F.col("cosine").desc(), F.col("words").desc(), "other")))
+    few = few.where((F.col("rc") <= 2 * limit) | (F.col("rw") <= 2 * limit) | (F.col("pair") & (F.col("rp") <= 2 * limit)))
+    few = few.withColumn("rc", rank("uuid", by="cosine")).withColumn("rw", rank("uuid", by="words"))
+    fused = few.withColumn("score", F.when(near, 1.0 / F.col("rc")).otherwise(0.0) + F.when(like, 1.0 / F.col("rw")).otherwise(0.0))
+    best = (F.col("score").desc(), F.col("other"))
+    placed = fused.withColumn("place", F.row_number().over(Window.partitionBy("uuid").orderBy(*best))).withColumn("own", F.row_number().over(Window.partitionBy("uuid", "pair").orderBy(*best)))
+    related = F.col("pair") & (F.col("own") <= limit)
+    row = F.struct("place", F.col("other").alias("uuid"), F.col("other_fact").alias("fact"))
+    lists = placed.where(related | (F.col("place") <= limit)).groupBy("uuid").agg(F.array_sort(F.collect_list(F.when(related, row))).alias("r"), F.array_sort(F.collect_list(F.when(~related & (F.col("place") <= limit), row))).alias("e"))
+    bare = lambda c: F.transform(c, lambda x: F.struct(x["uuid"].alias("uuid"), x["fact"].alias("fact")))
+    return lists.select("uuid", bare("r").alias("related"), bare("e").alias("existing")).join(new.select("uuid", "fact"), "uuid")
+
+
 def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``uuid, root``: the smallest uuid of each undirected component.
 

@@ -78,7 +78,7 @@ def checked_labels(labels: list[str]) -> list[str]:
 
 
 def checked_group(group: str) -> str:
-    if not re.fullmatch("[A-Za-z0-9_-]+", group):
+    if not re.fullmatch("[A-Za-z0-9_-]*", group):  # the empty group is the default one
         raise ValueError(f"not a group id: {group!r}")
     return group
 

@@ -11,6 +11,11 @@ def by_uuid(rows: DataFrame, uuid: str) -> DataFrame:
     return rows.where(F.col("uuid") == uuid)
 
 
+def by_name(rows: DataFrame, name: str, group: str) -> DataFrame:
+    """The rows of a name in one group; the empty group is a group like any other."""
+    return rows.where((F.col("name") == name) & (F.col("group_id") == group))
+
+
 def by_uuids(rows: DataFrame, uuids: list[str]) -> DataFrame:
     """With ``pos``, the place in the list; those missing are skipped.  The list is a filter that reaches the scan."""
     return rows.where(F.col("uuid").isin(uuids)).withColumn("pos", F.array_position(F.array(*map(F.lit, uuids)), F.col("uuid")) - 1) if uuids else rows.where(F.lit(False)).withColumn("pos", F.lit(0).cast("long"))

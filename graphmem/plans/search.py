@@ -209,3 +209,31 @@ def search(g: Graph, r: Request, config: Config, embed: Callable[[str], list[flo
 
 def all_groups(rows: DataFrame) -> DataFrame:
     return in_groups(rows, None).select("group_id").distinct()
+
+
+#: Indexed tables and the columns of their texts.
+INDEXED = {"entity_edge": ("fact", "name"), "entity": ("name", "summary"), "episode": ("content", "name", "source_description"), "community": ("name",)}
+
+
+def build_indices(store) -> int:
+    """Writes a term table and its statistics for each indexed table, under the store's present version; a version that has them is left as it is."""
+    version = store.version()
+    for name, columns in INDEXED.items():
+        fs, done = store._place("index", f"{version:012d}", name, "stats", "_SUCCESS")
+        if not fs.exists(done):
+            rows = store.table(name, version=version)
+            index = fulltext.term_table(rows, fulltext.text_of(*columns))
+            index.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{store.path}/index/{version:012d}/{name}/terms")
+            rows.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size(fulltext.tokens(fulltext.text_of(*columns)))), F.lit(1.0)).alias("avg_len")).write.mode("overwrite").parquet(f"{store.path}/index/{version:012d}/{name}/stats")
+    return version
+
+
+def search_index(store, name: str, query: str, limit: int = LIMIT, groups: list[str] | None = None) -> DataFrame:
+    """``uuid, score`` by BM25 from the stored index of the present version; without one, from the texts."""
+    version = store.version()
+    folder = f"{store.path}/index/{version:012d}/{name}"
+    fs, done = store._place("index", f"{version:012d}", name, "stats", "_SUCCESS")
+    if not fs.exists(done):
+        return fulltext.bm25(store.table(name, version=version), fulltext.text_of(*INDEXED[name]), query, limit, groups).select("uuid", "score")
+    stats = store.spark.read.parquet(f"{folder}/stats").first()
+    return fulltext.search_terms(store.spark.read.parquet(f"{folder}/terms"), query, stats["n"], stats["avg_len"], limit, groups)

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as Parquet in the folder of ``spark.checkpoint.dir`` (a folder of this machine only where that is unset), read again."""
+    """``df`` as Parquet in the folder of ``spark.checkpoint.dir`` (a folder of this machine only where that is unset and Spark runs on this machine alone), read again."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/graphmem"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    folder = folder or "/tmp/checkpoints/graphmem"
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -22,6 +22,7 @@ def fact(source, target, text, valid_at=None):
 SCRIPT = ScriptedExtractor(
     {ACME: node("Alice", "Acme"), GLOBEX: node("alice", "Globex", " "), "Bob.": node("Bob", "Alice")},
     {ACME: fact("Alice", "Acme", ACME, "2025-01-01T00:00:00Z"), GLOBEX: fact("alice", "Globex", GLOBEX, "2025-06-01T00:00:00Z") + fact("alice", "Nobody", "x"), "Bob.": []},
+    contradicts={GLOBEX: [ACME]},
 )
 
 
