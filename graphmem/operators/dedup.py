@@ -64,11 +64,14 @@ def resolve(extracted: DataFrame, existing: DataFrame) -> DataFrame:
     return exact.join(best, "uuid", "left").select("uuid", F.when(F.col("n") == 1, F.col("same_uuid")).otherwise(F.col("near_uuid")).alias("resolved_uuid"))
 
 
-def edge_candidates(edges: DataFrame, embedding: str = "fact_embedding") -> DataFrame:
-    """``uuid, other``: edges of the same endpoints that share a word or have a cosine of 0.6 at least."""
-    a = edges.select("uuid", "source_node_uuid", "target_node_uuid", F.split(F.lower("fact"), r"\s+").alias("w"), F.col(embedding).alias("v"))
-    b = a.select(F.col("uuid").alias("other"), "source_node_uuid", "target_node_uuid", F.col("w").alias("ow"), F.col("v").alias("ov"))
-    both = a.join(b, ["source_node_uuid", "target_node_uuid"]).where("uuid <> other")
+def edge_candidates(edges: DataFrame, new: DataFrame | None = None, embedding: str = "fact_embedding") -> DataFrame:
+    """``uuid, other``: edges of the same endpoints as one of ``new`` (all edges, without it) that share a word with it or have a cosine of 0.6 at least."""
+
+    def sides(rows: DataFrame) -> DataFrame:
+        return rows.select("uuid", "source_node_uuid", "target_node_uuid", F.split(F.lower("fact"), r"\s+").alias("w"), F.col(embedding).alias("v"))
+
+    b = sides(edges).select(F.col("uuid").alias("other"), "source_node_uuid", "target_node_uuid", F.col("w").alias("ow"), F.col("v").alias("ov"))
+    both = sides(edges if new is None else new).join(b, ["source_node_uuid", "target_node_uuid"]).where("uuid <> other")
     return both.where(F.arrays_overlap("w", "ow") | F.coalesce(vector.cosine(F.col("v"), F.col("ov")) >= OVERLAP_COSINE, F.lit(False))).select("uuid", "other")
 
 

@@ -20,33 +20,37 @@ def text_of(*columns: str) -> Column:
 def bm25(rows: DataFrame, text: Column, query: str, limit: int, groups: list[str] | None = None) -> DataFrame:
     """``rows`` with ``score``, the best ``limit`` first in order of score, then uuid.
 
-    Statistics are those of all ``rows``; groups restrict the result.  Term counts are taken inside each row, so nothing is
-    exploded: one aggregate of one row, and a top-k.  A query without tokens, or with too many, finds nothing.
+    Statistics are those of all ``rows``; groups restrict the result.  A text is split once for the statistics and once for the scores, and its terms are
+    counted inside the row, so nothing is exploded: one aggregate of one row, and a top-k.  A query without tokens, or with too many, finds nothing.
     """
     terms = query_tokens(query, groups)
     if not terms:
         return rows.limit(0).withColumn("score", F.lit(0.0))
-    counted = rows.withColumn("_t", tokens(text)).withColumn("_len", F.size("_t").cast("double"))
-    for i, term in enumerate(terms):
-        counted = counted.withColumn(f"_f{i}", _occurrences(term))
-    counted = counted.drop("_t")
-    stats = counted.agg(F.count("*").cast("double").alias("_n"), F.avg("_len").alias("_avg"), *[F.sum((F.col(f"_f{i}") > 0).cast("double")).alias(f"_d{i}") for i in range(len(terms))])
-    any_term = functools.reduce(operator.or_, [F.col(f"_f{i}") > 0 for i in range(len(terms))])
-    found = counted.where(any_term)
-    found = found.where(F.col("group_id").isin(groups)) if groups and groups != [""] else found
-    found = found.crossJoin(F.broadcast(stats))  # stats is one row
-    parts = [_part(F.col(f"_f{i}"), F.col(f"_d{i}")) for i in range(len(terms))]
-    scored = found.withColumn("score", functools.reduce(operator.add, parts))
-    return scored.select(*rows.columns, "score").orderBy(F.col("score").desc(), "uuid").limit(limit)
+    counted = rows.withColumn("_h", _hits(text, terms))
+    found = [F.col(f"_h.f{i}") for i in range(len(terms))]
+    stats = counted.select("_h").agg(F.count("*").cast("double").alias("_n"), F.avg("_h.len").alias("_avg"), *[F.sum((f > 0).cast("double")).alias(f"_d{i}") for i, f in enumerate(found)])
+    own = counted.where(F.col("group_id").isin(groups)) if groups and groups != [""] else counted
+    parts = [_part(f, F.col(f"_d{i}"), F.col("_h.len")) for i, f in enumerate(found)]
+    scored = own.crossJoin(F.broadcast(stats)).withColumn("score", functools.reduce(operator.add, parts))  # stats is one row
+    # A text without a term scores 0; a filter before the top-k would split every text once more.
+    return scored.select(*rows.columns, "score").orderBy(F.col("score").desc(), "uuid").limit(limit).where("score > 0").orderBy(F.col("score").desc(), "uuid")
 
 
-def _occurrences(term: str) -> Column:
-    return F.size(F.filter("_t", lambda x: x == term)).cast("double")
+def _hits(text: Column, terms: list[str]) -> Column:
+    """The number of a text's tokens, and of each term among them; the tokens are bound once, as the only item of an array."""
 
+    def count(t: Column, term: str) -> Column:
+        return F.size(F.filter(t, lambda x: x == term)).cast("double")
 
-def _part(tf: Column, df: Column) -> Column:
+    def counts(t: Column) -> Column:
+        return F.struct(F.size(t).cast("double").alias("len"), *[count(t, term).alias(f"f{i}") for i, term in enumerate(terms)])
+
+    return F.element_at(F.transform(F.array(tokens(text)), counts), 1)
+
+
+def _part(tf: Column, df: Column, length: Column) -> Column:
     idf = F.log(1 + (F.col("_n") - df + 0.5) / (df + 0.5))
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.col("_avg")))
 
 
 def contains(rows: DataFrame, text: Column, query: str, limit: int, groups: list[str] | None = None) -> DataFrame:
@@ -69,4 +73,4 @@ def search_terms(index: DataFrame, query: str, n_rows: int, avg_len: float, limi
     df = hit.groupBy("term").agg(F.count("*").cast("double").alias("_d"))
     own = hit.where(F.col("group_id").isin(groups)) if groups and groups != [""] else hit
     scored = own.join(F.broadcast(df), "term").withColumn("_n", F.lit(float(n_rows))).withColumn("_avg", F.lit(float(avg_len))).withColumn("_len", F.col("len").cast("double"))
-    return scored.groupBy("uuid").agg(F.sum(_part(F.col("tf").cast("double"), F.col("_d"))).alias("score")).orderBy(F.col("score").desc(), "uuid").limit(limit)
+    return scored.groupBy("uuid").agg(F.sum(_part(F.col("tf").cast("double"), F.col("_d"), F.col("_len"))).alias("score")).orderBy(F.col("score").desc(), "uuid").limit(limit)

@@ -1,4 +1,4 @@
-"""Bounded traversal, unrolled into joins, and neighbour counts."""
+"""Bounded traversal, hop by hop over written frontiers, and neighbour counts."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmem.operators.filters import SearchFilters, filter_edges, filter_nodes, in_groups
+from graphmem.sources.scratch import discard, written
 
 DEPTH, MAX_DEPTH = 3, 5
 
@@ -16,14 +17,24 @@ def _hops(edges: DataFrame, mentions: DataFrame | None) -> DataFrame:
     return own if mentions is None else own.unionByName(mentions.select(F.lit(None).cast("string").alias("uuid"), F.col("source_node_uuid").alias("s"), F.col("target_node_uuid").alias("t")))
 
 
-def _frontiers(hops: DataFrame, origins: DataFrame, depth: int):
-    """``origin, node`` after each hop, each pair once."""
-    front = origins.select(F.col("uuid").alias("origin"), F.col("uuid").alias("node")).distinct()
-    links = hops.select("s", "t").distinct()
+def _reached(hops: DataFrame, origins: DataFrame, depth: int, with_origins: bool) -> DataFrame:
+    """``origin, node`` of all nodes some hops from an origin, each pair once.
+
+    The links are written once and each frontier as it is found, so a hop is one join over stored tables, and no plan holds another one's.
+    """
+    links = written(hops.select("s", "t"), "links")
+    fronts = [written(origins.select(F.col("uuid").alias("origin"), F.col("uuid").alias("node")).distinct(), "front")]
     for _ in range(min(depth, MAX_DEPTH)):
-        yield front
-        front = front.join(links, F.col("node") == F.col("s")).select("origin", F.col("t").alias("node")).distinct()
-    yield front
+        after = fronts[-1].join(links, F.col("node") == F.col("s")).select("origin", F.col("t").alias("node")).distinct()
+        fronts.append(written(after, "front"))
+    kept = fronts if with_origins else fronts[1:] or [fronts[0].limit(0)]
+    out = kept[0]
+    for front in kept[1:]:
+        out = out.unionByName(front)
+    out = written(out.distinct(), "reached")
+    for df in (links, *fronts):
+        discard(df)
+    return out
 
 
 def bfs_nodes(entities: DataFrame, edges: DataFrame, origins: DataFrame, depth: int = DEPTH, mentions: DataFrame | None = None, filters: SearchFilters | None = None, groups: list[str] | None = None, limit: int | None = None) -> DataFrame:
@@ -31,22 +42,15 @@ def bfs_nodes(entities: DataFrame, edges: DataFrame, origins: DataFrame, depth:
 
     Origins have ``uuid, group_id``.  Pairs are distinct after each hop, so a round is no larger than origins times nodes reached.
     """
-    reached = None
-    for i, front in enumerate(_frontiers(_hops(edges, mentions), origins, depth)):
-        if i:
-            reached = front if reached is None else reached.unionByName(front)
-    reached = reached.distinct().join(origins.select(F.col("uuid").alias("origin"), F.col("group_id").alias("own")), "origin").select(F.col("node").alias("_node"), "own").distinct()
+    reached = _reached(_hops(edges, mentions), origins, depth, False)
+    reached = reached.join(origins.select(F.col("uuid").alias("origin"), F.col("group_id").alias("own")), "origin").select(F.col("node").alias("_node"), "own").distinct()
     found = filter_nodes(in_groups(entities, groups), filters).join(reached, (F.col("uuid") == F.col("_node")) & (F.col("group_id") == F.col("own")), "left_semi")
     return found.orderBy("uuid").limit(limit) if limit else found
 
 
 def bfs_edges(edges: DataFrame, origins: DataFrame, depth: int = DEPTH, mentions: DataFrame | None = None, filters: SearchFilters | None = None, groups: list[str] | None = None, limit: int | None = None, entities: DataFrame | None = None) -> DataFrame:
     """RELATES_TO edges on such paths, each once and as it points; MENTIONS only carry on."""
-    starts = None
-    fronts = list(_frontiers(_hops(edges, mentions), origins, depth - 1))
-    for front in fronts:
-        starts = front if starts is None else starts.unionByName(front)
-    starts = starts.select(F.col("node").alias("_start")).distinct()
+    starts = _reached(_hops(edges, mentions), origins, depth - 1, True).select(F.col("node").alias("_start")).distinct()
     found = filter_edges(in_groups(edges, groups), filters, entities).join(starts, F.col("source_node_uuid") == F.col("_start"), "left_semi")
     return found.orderBy("uuid").limit(limit) if limit else found
 

@@ -5,7 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from graphmem.operators import community, dedup, filters, fusion, temporal, traverse
+from graphmem.operators import community, dedup, filters, fulltext, fusion, temporal, traverse
 from graphmem.operators.filters import Comparison, DateFilter, SearchFilters
 
 
@@ -188,3 +188,11 @@ def test_resolve(spark):
     assert {r["uuid"]: r["resolved_uuid"] for r in dedup.resolve(own, had).collect()} == {"n1": "o1", "n2": "o2", "n3": None, "n4": None}
 
 
+
+
+def test_bm25_splits_a_text_once_for_statistics_and_once_for_scores(spark):
+    rows = spark.createDataFrame([("a", "g", "one two"), ("b", "g", "two three two")], "uuid string, group_id string, fact string")
+    found = fulltext.bm25(rows, F.col("fact"), "one two three four five", 5, ["g"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2
+    assert [r["uuid"] for r in found.collect()] == ["a", "b"]
