@@ -121,3 +121,87 @@ def test_streams(spark, memory, tmp_path):
     q = state_changes(facts).writeStream.format("memory").queryName("changes").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("changes").first()["facts"] == 1
+
+
+BOB, CAROL = "Alice knows Bob.", "Alice knows Carol."
+
+
+def knows(target, text, valid_at):
+    return [{"source": "Alice", "target": target, "relation": "KNOWS", "fact": text, "valid_at": valid_at}]
+
+
+def test_default_group_and_facts_that_nothing_contradicts(spark, tmp_path):
+    """In the empty group known nodes and facts are found again, a judged fact is closed, and another target is no contradiction."""
+    script = ScriptedExtractor(
+        {ACME: node("Alice", "Acme"), GLOBEX: node("alice", "Globex"), BOB: node("Alice", "Bob"), CAROL: node("Alice", "Carol")},
+        {ACME: fact("Alice", "Acme", ACME, "2025-01-01T00:00:00Z"), GLOBEX: fact("alice", "Globex", GLOBEX, "2025-06-01T00:00:00Z"), BOB: knows("Bob", BOB, "2020-01-01"), CAROL: knows("Carol", CAROL, "2021-01-01")},
+        contradicts={GLOBEX: [ACME]},
+    )
+    memory = Memory(spark, str(tmp_path / "graph"), script, HashEmbedder(16), clock=lambda: "2025-07-01 00:00:00")
+    memory.add_episode("e1", ACME, "2025-01-01 00:00:00")
+    rows = [(f"e{k}", "", "", "text", "", c, "2025-06-01 00:00:00") for k, c in enumerate((GLOBEX, BOB, CAROL), 2)]
+    df = spark.createDataFrame(rows, "uuid string, name string, group_id string, source string, source_description string, content string, valid_at string")
+    memory.add_episodes(df.withColumn("valid_at", F.col("valid_at").cast("timestamp")))
+    edges = {r["fact"]: r for r in memory.store.table("entity_edge").collect()}
+    assert str(edges[ACME]["invalid_at"]) == "2025-06-01 00:00:00"
+    assert all(edges[x]["invalid_at"] is None and edges[x]["expired_at"] is None for x in (GLOBEX, BOB, CAROL))
+    assert sorted(r["name"] for r in memory.store.table("entity").collect()) == ["Acme", "Alice", "Bob", "Carol", "Globex"]
+    found, named = memory.nodes_and_edges_of(["e1"])
+    assert {r["name"] for r in found.collect()} == {"Alice", "Acme"} and [r["fact"] for r in named.collect()] == [ACME]
+    assert memory.search_edges("knows Carol").first()["fact"] == CAROL and memory.search_edges(" ") is None
+    alice = memory.store.table("entity").where("name = 'Alice'").first()["uuid"]
+    assert memory.search_edges("knows", center=alice, limit=2).count() == 2
+    with pytest.raises(KeyError, match="nope"):
+        memory.remove_episodes(["e1", "nope"])
+    before = memory.store.version()
+    memory.remove_episodes(["e1"])
+    assert memory.store.version() == before + 1 and "Acme" not in {r["name"] for r in memory.store.table("entity").collect()}
+    assert ACME not in {r["fact"] for r in memory.store.table("entity_edge").collect()}
+
+
+def test_questions_to_the_model(spark, tmp_path):
+    """Same nodes, duplicates, times and summaries come from the client; answers out of range are dropped; communities and sagas follow."""
+    one, two = "Robert Smith runs Acme Corporation", "Bob Smith leads Acme Corporation"
+    edge = {"target": "Acme Corporation", "relation": "RUNS"}
+    script = ScriptedExtractor(
+        {one: node("Robert Smith", "Acme Corporation"), two: node("Robert Smyth II", "Acme Corporation", "Zed Quux")},
+        {one: [{**edge, "source": "Robert Smith", "fact": one}], two: [{**edge, "source": "Robert Smyth II", "fact": two}]},
+        duplicates={two: [one]}, same={"Robert Smyth II": "Robert Smith", "Zed Quux": "99"}, when={one: {"valid_at": "2024-02-03T00:00:00Z"}}, summaries={"Robert Smith": "A manager. " * 200, "Acme Corporation": "A firm."},
+    )
+    memory = Memory(spark, str(tmp_path / "graph"), script, HashEmbedder(16), clock=lambda: "2025-07-01 00:00:00")
+    memory.add_episode("e1", one, "2025-01-01 00:00:00", "g", saga="s")
+    memory.store.save(community=spark.createDataFrame([("k", "firms", "g", "Firms.")], "uuid string, name string, group_id string, summary string"))
+    acme = memory.store.table("entity").where("name = 'Acme Corporation'").first()
+    memory.store.save(has_member=spark.createDataFrame([("h", "k", acme["uuid"], "g")], "uuid string, source_node_uuid string, target_node_uuid string, group_id string"))
+    memory.add_episode("e2", two, "2025-02-01 00:00:00", "g", saga="s", update_communities=True)
+    edges = memory.store.table("entity_edge").collect()
+    assert len(edges) == 1 and edges[0]["episodes"] == ["e1", "e2"] and str(edges[0]["valid_at"]) == "2024-02-03 00:00:00"
+    entities = {r["name"]: r for r in memory.store.table("entity").collect()}
+    assert set(entities) == {"Robert Smith", "Acme Corporation", "Zed Quux"}
+    assert len(entities["Robert Smith"]["summary"]) <= 1000 and entities["Robert Smith"]["summary"].endswith(".") and entities["Acme Corporation"]["summary"] == "A firm."
+    firms = memory.store.table("community").where("uuid = 'k'").first()
+    assert "A firm." in firms["summary"] and firms["name"] == firms["summary"] and firms["name_embedding"] is not None
+    members = {r["target_node_uuid"] for r in memory.store.table("has_member").where("source_node_uuid = 'k'").collect()}
+    assert members == {acme["uuid"], entities["Robert Smith"]["uuid"]}
+
+    calls = []
+    script.saga_summary = lambda name, old, contents: f"{old}|{len(contents)}"
+    saga = memory.saga_by_name("s", "g").first()
+    done = memory.summarize_sagas([saga["uuid"]]).first()
+    assert done["summary"] == "|2" and str(done["last_summarized_at"]) == "2025-07-01 00:00:00" and str(done["last_summarized_episode_valid_at"]) == "2025-02-01 00:00:00"
+    assert memory.summarize_sagas([saga["uuid"]]).count() == 0 and not calls
+    with pytest.raises(KeyError):
+        memory.summarize_sagas(["nope"])
+    built = memory.build_communities(["g"], combine=lambda a, b: f"{a}+{b}", describe=lambda x: x[:3]).collect()
+    assert len(built) == 1 and len(built[0]["name"]) == 3 and built[0]["uuid"] != "k" and memory.store.table("has_member").count() == 2
+
+
+def test_triplets_merge_into_known_nodes(spark, tmp_path):
+    memory = Memory(spark, str(tmp_path / "graph"), ScriptedExtractor({}, {}), HashEmbedder(16), clock=lambda: "2025-07-01 00:00:00")
+    schema = "uuid string, source string, name string, target string, fact string, group_id string, source_attributes map<string,string>, source_summary string, source_labels array<string>"
+    memory.add_triplets(spark.createDataFrame([("x1", "Ann", "KNOWS", "Ben", "Ann knows Ben", "g", {"a": "1", "b": "1"}, "first", ["Person"])], schema))
+    memory.add_triplets(spark.createDataFrame([("x1", "ann", "KNOWS", "Cid", "Ann knows Cid", "g", {"b": "2"}, "", ["Boss"])], schema))
+    ann = memory.store.table("entity").where("name = 'Ann'").first()
+    assert ann["attributes"] == {"a": "1", "b": "2"} and ann["summary"] == "first" and ann["labels"] == ["Boss", "Entity", "Person"]
+    edges = {r["fact"]: r["uuid"] for r in memory.store.table("entity_edge").collect()}
+    assert edges["Ann knows Ben"] == "x1" and len(edges) == 2 and edges["Ann knows Cid"] != "x1"
