@@ -328,7 +328,10 @@ def rules() -> tuple[Rule, ...]:
 #: Any characters, none or spaces included: what it touches is no known word.
 _ANY = "\0"
 #: Words too common to tell texts apart; numbers are left out with them.
-_COMMON = set("a an and any are as be by for in is it not of or the this to use with you".split())
+_COMMON = set(
+    "a all an and any are as at be been but by can could do each for from had has have he her his i if in into is it its may more most must no nor not of on one only or other our out over shall she should so some such than"
+    " that the their them then there these they this those to under up use used using was we were what when where which who will with without would you your".split()
+)
 
 
 def _spellings(parsed: list, most: int = 20_000) -> set[str]:
