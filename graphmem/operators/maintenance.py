@@ -51,8 +51,9 @@ def priced(ledger: DataFrame) -> DataFrame:
 
 
 def cost_rollup(ledger: DataFrame, *by: str) -> DataFrame:
-    """Calls, tokens and dollars by the given columns, with subtotals and a grand total (nulls)."""
-    totals = priced(ledger).rollup(*by).agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost").alias("cost"))
+    """Calls, tokens and dollars by the given columns, with subtotals and a grand total (nulls); a row is one call unless it has ``calls``."""
+    calls = F.sum("calls") if "calls" in ledger.columns else F.count("*")
+    totals = priced(ledger).rollup(*by).agg(calls.alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost").alias("cost"))
     return totals.withColumn("cost", F.col("cost").cast("double") / 1e6)
 
 

@@ -34,6 +34,7 @@ class Memory:
         self.clock = clock or (lambda: datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S.%f"))
 
     def add_episodes(self, episodes: DataFrame, types: list[str] | None = None, update_communities: bool = False) -> ingest.Ingested:
+        types = getattr(self.extractor, "types", None) if types is None else types
         return ingest.add_episodes(self.store, episodes, self.extractor, self.embedder, self.clock(), types, update_communities)
 
     def add_episode(self, uuid: str, content: str, valid_at: str, group_id: str = "", name: str = "", source: str = "message", source_description: str = "", saga: str | None = None, update_communities: bool = False) -> ingest.Ingested:
