@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphmem.sources.scratch import written
+from graphmem.sources.scratch import discard, written
 
 MAX_ROUNDS = 1000
 
@@ -17,15 +17,13 @@ MAX_ROUNDS = 1000
 def label_propagation(adjacency: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """``group_id, node_uuid, label`` from an adjacency table (a node without neighbours has a row with a null one).
 
-    Labels start as the rank of a node's uuid in its group.  In a round all nodes at once take the neighbour label of greatest edge count,
+    A label is the uuid of a node, at first the node's own; only the order of labels counts, so no group is sorted.  In a round all nodes at once take the neighbour label of greatest edge count,
     the larger label of equals: if its count is over 1 as it is, else the larger of it and the own label.
     Rounds go on until nothing changes, or up to a cap (labels can swing).  A round is two joins
     on uniform keys with aggregates before the shuffle, and is written before the next one.
     """
-    first = Window.partitionBy("group_id").orderBy("node_uuid")
-    nodes = adjacency.select("group_id", "node_uuid").distinct()
     links = written(adjacency.where("neighbor_uuid is not null"), "links")
-    labels = written(nodes.withColumn("label", (F.row_number().over(first) - 1).cast("long")), "labels")
+    labels = written(adjacency.select("group_id", "node_uuid").distinct().withColumn("label", F.col("node_uuid")), "labels")
     for _ in range(max_rounds):
         near = labels.select("group_id", F.col("node_uuid").alias("neighbor_uuid"), F.col("label").alias("theirs"))
         votes = links.join(near, ["group_id", "neighbor_uuid"]).groupBy("group_id", "node_uuid", "theirs").agg(F.sum("edge_count").alias("n"))
@@ -33,10 +31,12 @@ def label_propagation(adjacency: DataFrame, max_rounds: int = MAX_ROUNDS) -> Dat
         chosen = F.when(F.col("best").isNull(), F.col("label")).when(F.col("best.n") > 1, F.col("best.theirs")).otherwise(F.greatest("best.theirs", "label"))
         after = written(labels.join(best, ["group_id", "node_uuid"], "left").select("group_id", "node_uuid", chosen.alias("label"), F.col("label").alias("was")), "labels")
         moved = after.where("label <> was").limit(1).count()
-        labels = after.drop("was")
+        discard(labels)
+        labels = after
         if not moved:
             break
-    return labels
+    discard(links)
+    return labels.select("group_id", "node_uuid", "label")
 
 
 def clusters(labels: DataFrame) -> DataFrame:
