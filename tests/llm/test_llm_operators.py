@@ -758,3 +758,34 @@ def test_pipeline_catches_what_is_planted(spark, tmp_path):
     assert passage in got[83]["text"] and got[84]["text"] in texts[84] and passage not in got[84]["text"]
     assert leak not in got[85]["text"] and len(got[85]["text"].split()) == 80 and got[87]["text"] == texts[87]
     assert all(r["round_trip"] for r in got.values())
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    """Null ids and texts, empty texts, repeated rows, ties and extra columns pass every stage; an empty table gives no rows."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice(["mild", "calm", "warm", "grey", "slow"]) + str(rng.randint(0, 999)) for _ in range(n))
+    same, long = text(50), text(8000)
+    texts = [(None, text(40)), (None, text(40)), (None, None), (1, None), (2, ""), (3, " \n"), (4, same), (4, same), (5, same), (6, long), (7, "one")]
+    texts += [(100 + k, text(30) + (" you idiot moron" if k % 2 else "")) for k in range(40)]
+    rows = [(i, t, "en", "s", len(t or ""), "kept", 1) for i, t in texts]
+    layout = "doc_id long, text string, lang string, source string, n_chars long, gone string, grp int"
+    spark.createDataFrame([(100 + k, 1, k % 2) for k in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    spark.createDataFrame([(0, None), (None, "never to be seen anywhere in these texts at all")], "item_id long, text string").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    spark.createDataFrame(rows, layout).write.parquet(f"{tmp_path}/a/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    ids = Counter(r["doc_id"] for r in got)
+    assert ids[None] == 3 and ids[4] == 2 and ids[5] == 0 and all(ids[k] == 1 for k in (1, 2, 3, 6, 7))
+    by = {r["doc_id"]: r for r in got}
+    assert by[6]["text"] == long and by[1]["n_pieces"] == by[2]["n_pieces"] == 0 and all(r["round_trip"] for r in got)
+    for name, df in (("labels", spark.createDataFrame([], "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame([], "item_id long, text string")), ("documents", spark.createDataFrame([], layout))):
+        df.write.parquet(f"{tmp_path}/b/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_conversations_with_other_columns(spark):
+    from graphmem.llm.chat_template import format_conversations, read_back
+
+    df = spark.createDataFrame([(1, 0, "user", "hi", 9, "x"), (1, 1, "assistant", "yo", 9, "x")], "conv_id long, turn long, role string, text string, n_turns long, formatted string")
+    assert read_back(format_conversations(df)).select("conv_id", "n_turns", "loss_chars").first()[:3] == (1, 2, 2)
