@@ -27,7 +27,7 @@ def bm25(rows: DataFrame, text: Column, query: str, limit: int, groups: list[str
     if not terms:
         return rows.limit(0).withColumn("score", F.lit(0.0))
     counted = rows.withColumn("_h", _hits(text, terms))
-    found = [F.col(f"_h.f{i}") for i in range(len(terms))]
+    found = [F.size(F.filter("_h.hits", _equals(term))).cast("double") for term in terms]
     stats = counted.select("_h").agg(F.count("*").cast("double").alias("_n"), F.avg("_h.len").alias("_avg"), *[F.sum((f > 0).cast("double")).alias(f"_d{i}") for i, f in enumerate(found)])
     own = counted.where(F.col("group_id").isin(groups)) if groups and groups != [""] else counted
     parts = [_part(f, F.col(f"_d{i}"), F.col("_h.len")) for i, f in enumerate(found)]
@@ -36,14 +36,15 @@ def bm25(rows: DataFrame, text: Column, query: str, limit: int, groups: list[str
     return scored.select(*rows.columns, "score").orderBy(F.col("score").desc(), "uuid").limit(limit).where("score > 0").orderBy(F.col("score").desc(), "uuid")
 
 
-def _hits(text: Column, terms: list[str]) -> Column:
-    """The number of a text's tokens, and of each term among them; the tokens are bound once, as the only item of an array."""
+def _equals(term: str):
+    return lambda x: x == term
+
 
-    def count(t: Column, term: str) -> Column:
-        return F.size(F.filter(t, lambda x: x == term)).cast("double")
+def _hits(text: Column, terms: list[str]) -> Column:
+    """The number of a text's tokens, and those that are terms; the tokens are bound once, as the only item of an array, and read once."""
 
     def counts(t: Column) -> Column:
-        return F.struct(F.size(t).cast("double").alias("len"), *[count(t, term).alias(f"f{i}") for i, term in enumerate(terms)])
+        return F.struct(F.size(t).cast("double").alias("len"), F.filter(t, lambda x: x.isin(terms)).alias("hits"))
 
     return F.element_at(F.transform(F.array(tokens(text)), counts), 1)
 

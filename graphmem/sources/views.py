@@ -48,7 +48,7 @@ def entity(t: Tables) -> DataFrame:
 
 def order_edges(t: Tables) -> DataFrame:
     """ORDERED_FROM, customer to supplier, one for each pair: valid from the first order, episodes are the orders."""
-    lines = t.lineitem.select("l_orderkey", "l_suppkey").distinct()
+    lines = t.lineitem.select("l_orderkey", "l_suppkey")  # repeated pairs change neither the first order nor the set of orders
     both = t.orders.select("o_orderkey", "o_custkey", "o_orderdate").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     grouped = both.groupBy("o_custkey", "l_suppkey").agg(F.min("o_orderdate").alias("valid_at"), F.array_sort(F.collect_set(_key("o:", "o_orderkey"))).alias("episodes"))
     source, target = _key("c:", "o_custkey"), _key("s:", "l_suppkey")
