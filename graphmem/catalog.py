@@ -211,10 +211,11 @@ def bm25_episodes_topk(t: Tables) -> DataFrame:
 
 @query(f"with {PASSAGES}, {_bm25_sql('hit', 'passage', 'fact', WORDS, 20)} select uuid, round(score, 6) as score from hit")
 def bm25_from_term_table(t: Tables) -> DataFrame:
-    rows = views.passages(t)
-    stats = rows.agg(F.count("*").alias("n"), F.avg(F.size(text.tokens(F.col("fact")))).alias("a")).first()
-    index = fulltext.term_table(rows, F.col("fact"))
-    return fulltext.search_terms(index, WORDS, stats["n"], stats["a"], 20).select("uuid", F.round("score", 6).alias("score"))
+    """Passages saved as facts of a store, found through its stored index."""
+    graph = _store(t, "index")
+    graph.save(entity_edge=views.passages(t).select("uuid", "fact", "group_id"))
+    search.build_indices(graph)
+    return search.search_index(graph, "entity_edge", WORDS, 20).select("uuid", F.round("score", 6).alias("score"))
 
 
 @query(f"with {PASSAGES} select uuid from passage where contains(lower(fact), 'of the') order by uuid limit 25")

@@ -93,3 +93,23 @@ def test_vectors(spark):
 def test_query_tokens():
     assert text.query_tokens("The CAFÉ, the bar") == ["the", "cafe", "bar"]
     assert text.query_tokens(" ".join(f"w{i}" for i in range(128))) == []
+
+
+def test_reranker_score_and_clipped_vectors(spark):
+    from graphmem.functions import vector
+    from graphmem.plans.clients import log_probability
+
+    rows = spark.createDataFrame([(" True ", -0.1, [1.0, 2.0, 3.0]), ("false", -0.1, [1.0])], "word string, p double, v array<double>")
+    got = rows.select(log_probability(F.col("word"), F.col("p")).alias("s"), vector.clipped(F.col("v"), 2).alias("v")).collect()
+    assert [round(r["s"], 6) for r in got] == [0.904837, 0.095163] and [r["v"] for r in got] == [[1.0, 2.0], [1.0]]
+
+
+def test_names_of_labels_and_groups_are_checked():
+    from graphmem.operators.filters import checked_group, checked_labels
+
+    assert checked_group("") == "" and checked_group("a-b_1") == "a-b_1" and checked_labels(["A_1"]) == ["A_1"]
+    for bad in ("a b", "a;b", "ä"):
+        with pytest.raises(ValueError):
+            checked_group(bad)
+        with pytest.raises(ValueError):
+            checked_labels([bad])

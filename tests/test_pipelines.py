@@ -205,3 +205,22 @@ def test_triplets_merge_into_known_nodes(spark, tmp_path):
     assert ann["attributes"] == {"a": "1", "b": "2"} and ann["summary"] == "first" and ann["labels"] == ["Boss", "Entity", "Person"]
     edges = {r["fact"]: r["uuid"] for r in memory.store.table("entity_edge").collect()}
     assert edges["Ann knows Ben"] == "x1" and len(edges) == 2 and edges["Ann knows Cid"] != "x1"
+
+
+def test_text_of_each_scope(spark):
+    """Facts are found by their relation, entities by their summaries, episodes by name and description, communities by name."""
+    table = lambda columns, *rows: spark.createDataFrame(list(rows), ", ".join(f"{c} string" for c in columns.split()))
+    graph = search.Graph(
+        edges=table("uuid fact name group_id", ("e1", "Ann met Ben", "KNOWS", "g"), ("e2", "Ann met Cid", "HIRED", "g")),
+        nodes=table("uuid name summary group_id", ("n1", "Ann", "runs a bakery", "g"), ("n2", "Ben", "", "g")),
+        episodes=table("uuid content name source_description group_id", ("p1", "hello", "morning", "chat", "g"), ("p2", "hello", "evening", "mail", "g")),
+        communities=table("uuid name group_id", ("c1", "bakers", "g"), ("c2", "others", "g")).withColumn("name_embedding", F.lit(None).cast("array<float>")),
+    )
+    plain = search.Scope(methods=(search.Method.BM25,))
+    config = search.Config(edge=plain, node=plain, episode=plain, community=plain)
+
+    def ids(scope, query):
+        return [r["uuid"] for r in getattr(search.search(graph, search.Request(query, vector=[1.0]), config), scope).collect()]
+
+    assert ids("edges", "hired") == ["e2"] and ids("nodes", "bakery") == ["n1"] and ids("communities", "bakers") == ["c1"]
+    assert ids("episodes", "evening") == ["p2"] and ids("episodes", "chat") == ["p1"]
