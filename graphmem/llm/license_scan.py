@@ -9,6 +9,7 @@ least its priority is suppressed.  All of it is one narrow projection of a row:
 
 from __future__ import annotations
 
+import collections
 import functools
 import itertools
 from collections.abc import Sequence
@@ -379,17 +380,34 @@ def _quoted(x: object) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else f"{x}D" if isinstance(x, float) else str(x)
 
 
-def _rule_array(found: Sequence[Rule]) -> Column:
-    named = ("label", "needs", "pattern", "priority", "sure")
-    structs = (
-        "named_struct(" + ", ".join(f"'{k}', {_quoted(v)}" for k, v in zip(named, (label, needs(pattern), numbered(pattern), priority, sure), strict=True)) + ")"
-        for label, pattern, priority, sure in found
-    )
-    return F.expr(f"array({', '.join(structs)})")
+def heads(sets: list[list[str]]) -> list[str]:
+    """A few words of which every set has one, the most common among the sets first; none if a set is empty."""
+    out, rest = [], [set(s) for s in sets]
+    while rest and all(rest):
+        count = collections.Counter(w for s in rest for w in s)
+        out.append(min(count, key=lambda w: (-count[w], w)))
+        rest = [s for s in rest if out[-1] not in s]
+    return [] if rest else out
+
+
+def _active(found: Sequence[Rule]) -> Column:
+    """The rules that may match: those that a word of ``present`` leads to, and of which all words of a spelling are there."""
+    named, by_word, always = ("label", "needs", "pattern", "priority", "sure"), {}, []
+    structs = []
+    for i, (label, pattern, priority, sure) in enumerate(found):
+        values = (label, needs(pattern), numbered(pattern), priority, sure)
+        structs.append("named_struct(" + ", ".join(f"'{k}', {_quoted(v)}" for k, v in zip(named, values, strict=True)) + ")")
+        for w in heads(values[1]):
+            by_word.setdefault(w, []).append(i)
+        if not heads(values[1]):
+            always.append(i)
+    ints = lambda x: f"array({', '.join(map(str, x))})" if x else "cast(array() as array<int>)"
+    index = f"map({', '.join(f'{_quoted(w)}, {ints(x)}' for w, x in sorted(by_word.items()))})" if by_word else "cast(map() as map<string, array<int>>)"
+    led = f"array_sort(array_distinct(concat({ints(always)}, flatten(transform(present, k -> coalesce(try_element_at({index}, k), {ints([])}))))))"
+    return F.expr(f"filter(transform({led}, i -> array({', '.join(structs)})[i]), r -> exists(r.needs, s -> forall(s, k -> array_contains(present, k))))")
 
 
 _NONE = "cast(array() as array<struct<lo: int, hi: int, priority: int, label: string, sure: double>>)"
-_GATED = "filter(rules, r -> exists(r.needs, s -> forall(s, k -> array_contains(present, k))))"
 #: The intervals of all matches, in words, the last one included.
 _MATCHES = r"""flatten(transform(active, r -> transform(regexp_extract_all(joined, r.pattern, 0), h ->
     named_struct('lo', int(regexp_extract(h, '~(\\d+)', 1)), 'hi', int(regexp_extract(h, '~(\\d+)$', 1)), 'priority', r.priority, 'label', r.label, 'sure', r.sure))))"""
@@ -421,7 +439,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         same = " and ".join(f"w[i + {k}] = '{w}'" for k, w in enumerate(phrase))
         places.append(f"if({gate} and size(w) >= {len(phrase)}, transform(filter(sequence(0, greatest(size(w) - {len(phrase)}, 0)), i -> {same}), i -> named_struct('at', i, 'label', '{label}')), cast(array() as array<struct<at: int, label: string>>))")
     rows = rows.withColumn("base", F.expr(f"concat({', '.join(places)})"))
-    ready = rows.withColumn("rules", F.when(F.size("present") > 0, _rule_array(table))).withColumn("active", F.expr(_GATED))
+    free = any(not heads(needs(r[1])) for r in table)  # a rule that needs no word runs on every text
+    ready = rows.withColumn("active", F.when(F.lit(free) | (F.size("present") > 0), _active(table)))
     # Spaces at both ends, so that every word of a match has one before it.
     joined = F.concat(F.lit(" "), F.array_join(F.transform("w", lambda x, i: F.concat(x, F.lit("~"), i.cast("string"))), " "), F.lit(" "))
     ready = ready.select("doc_id", F.size("w").cast("long").alias("n_words"), "base", "active", F.when(F.size("active") > 0, joined).alias("joined"))

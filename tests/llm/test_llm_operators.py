@@ -584,6 +584,9 @@ def test_licenses_need_no_keyword(spark):
     got = {r["doc_id"]: r for r in license_scan(table(spark, texts)).collect()}
     for k, t in enumerate(texts):
         assert license_row(got[k]) == brute_licenses(t, found, BASE), t
+    own = [("any", "a?b(?: c)*|x.y", 1, 0.5), ("pair", "one two", 2, 0.6)]
+    free = {r["doc_id"]: license_row(r) for r in license_scan(table(spark, ["q xzy", "one two xzy", "ab c c", "", "one"]), found=own).collect()}
+    assert [free[k] for k in range(5)] == [brute_licenses(t, own, BASE) for t in ("q xzy", "one two xzy", "ab c c", "", "one")]
     assert needs("a?b(?: c)*|x.y") == [[]] and needs("share ?alike(?: [1-4])?") == [["alike", "share"], ["sharealike"]]
 
 
