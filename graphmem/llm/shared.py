@@ -1,40 +1,14 @@
-"""Written intermediate tables and connected components."""
+"""Bounded samples and connected components, over tables written to the shared folder."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/graphmem"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a folder of this machine only where the session names none and runs on this machine alone."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-    return (named or LOCAL_CHECKPOINTS).rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, and outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_path = path
-    return out
-
+from graphmem.sources.scratch import discard, written
 
-def discard(df: DataFrame) -> None:
-    """Deletes the table behind a DataFrame of ``written``, once nothing reads it any more."""
-    if path := getattr(df, "_written_path", None):
-        jvm = df.sparkSession._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+__all__ = ["connected_components", "discard", "first_bytes", "shuffle_partitions", "written"]
 
 
 def first_bytes(rows: DataFrame, text: str, order: list, most: int) -> DataFrame:
