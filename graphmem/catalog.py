@@ -140,6 +140,37 @@ def mention_counts(t: Tables) -> DataFrame:
     return reads.mention_counts(views.mentions(t))
 
 
+@query(f"with {ENTITY} select uuid, label from entity where name = 'ASIA' and group_id = 'ASIA'")
+def node_by_name_in_group(t: Tables) -> DataFrame:
+    return reads.by_name(views.entity(t), "ASIA", "ASIA").select("uuid", F.col("labels")[1].alias("label"))
+
+
+@query(f"with {EPISODES} select uuid, cast(pos as bigint) as pos, content from episode join (values ('conv:3:1', 0), ('conv:0:0', 1), ('conv:2:0', 3)) v(u, pos) on u = uuid")
+def episodes_by_uuids(t: Tables) -> DataFrame:
+    return reads.by_uuids(views.episode(t), ["conv:3:1", "conv:0:0", "conv:none:0", "conv:2:0"]).select("uuid", "pos", "content")
+
+
+@query(f"with {PASSAGES} select uuid, round(list_sum(list_transform(cast(embedding as double[]), lambda x: x * x)), 6) as square from passage where uuid in ('d:2', 'd:1', 'd:5') and embedding is not null")
+def embeddings_for_edges(t: Tables) -> DataFrame:
+    own = reads.embeddings_of(views.passages(t), ["d:2", "d:1", "d:5", "d:none"], "fact_embedding")
+    return own.select("uuid", F.round(vector.dot(F.col("fact_embedding"), F.col("fact_embedding")), 6).alias("square"))
+
+
+@query(f"with {ENTITY} select distinct group_id from entity")
+def distinct_groups(t: Tables) -> DataFrame:
+    return search.all_groups(views.entity(t))
+
+
+@query(f"""with {ENTITY}, {EDGES}, {MENTIONS}, urgent as (select 'o:' || o_orderkey as e from orders where o_orderpriority = '1-URGENT')
+    select 'node' as kind, uuid from entity where uuid in (select entity from mention where episode in (select e from urgent))
+    union all select 'edge', uuid from edge where list_has_any(episodes, (select list(e) from urgent))""")
+def nodes_and_edges_of_episodes(t: Tables) -> DataFrame:
+    """What urgent orders mention, and the edges that name one of them."""
+    urgent = t.orders.where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("uuid"))
+    nodes, edges = maintenance.nodes_and_edges_of(views.entity(t), views.entity_edge(t), views.mentions(t), urgent)
+    return nodes.select(F.lit("node").alias("kind"), "uuid").unionByName(edges.select(F.lit("edge").alias("kind"), "uuid"))
+
+
 # --- Filters -------------------------------------------------------------------------------------------------
 
 
@@ -719,6 +750,48 @@ def cost_rollup(t: Tables) -> DataFrame:
     return maintenance.cost_rollup(ledger, "operation", "model")
 
 
+@query("""with led as (select 'u' || user_id as operation, event_type as label, case event_id % 3 when 0 then 'medium' when 1 then 'small' else 'embedding' end as model, event_id % 400 as i, event_id % 50 as o from events),
+    c as (select operation, sum(cast(case model when 'medium' then i * 0.40 + o * 1.60 when 'small' then i * 0.10 + o * 0.40 else i * 0.02 end as decimal(24, 2))) as cost from led where label = 'purchase' group by operation)
+    select round(cast(avg(cost) as double) / 1e6 * 100 * 30, 4) as monthly_cost from c""")
+def monthly_cost(t: Tables) -> DataFrame:
+    """An operation for each user; its purchases are the calls of an ``add_episode``."""
+    model = F.when(F.col("event_id") % 3 == 0, "medium").when(F.col("event_id") % 3 == 1, "small").otherwise("embedding")
+    label = F.when(F.col("event_type") == "purchase", "add_episode.extract").otherwise("search")
+    ledger = t.events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("operation"), label.alias("label"), model.alias("model"), (F.col("event_id") % 400).alias("tokens_in"), (F.col("event_id") % 50).alias("tokens_out"))
+    return maintenance.monthly(ledger, 100).select(F.round("monthly_cost", 4).alias("monthly_cost"))
+
+
+@query("""with given as (select o_custkey as k, max(o_orderkey) as o from orders group by o_custkey)
+    select c_custkey, case when o is null then 'nation=' || c_nationkey || ',segment=' || c_mktsegment else 'nation=' || c_nationkey || ',order=' || o || ',segment=given' end as attributes,
+        case when o is null then c_name else 'order ' || o end as summary, case when o is null then 'Customer,Entity' else 'Buyer,Customer,Entity' end as labels from customer left join given on k = c_custkey""")
+def triplet_merged_nodes(t: Tables) -> DataFrame:
+    """Each customer, merged with what its last order gives; those without orders are given nothing."""
+    given = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").cast("string").alias("o"))
+    rows = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment", "c_name").join(given, "c_custkey", "left")
+    own = {"attributes": F.create_map(F.lit("segment"), "c_mktsegment", F.lit("nation"), F.col("c_nationkey").cast("string")), "summary": F.col("c_name"), "labels": F.array(F.lit("Entity"), F.lit("Customer"))}
+    has = F.col("o").isNotNull()
+    brought = {
+        "attributes": F.when(has, F.create_map(F.lit("segment"), F.lit("given"), F.lit("order"), "o")),
+        "summary": F.when(has, F.concat(F.lit("order "), "o")).otherwise(""),
+        "labels": F.when(has, F.array(F.lit("Entity"), F.lit("Buyer"))).otherwise(F.array(F.lit("Entity"))),
+    }
+    merged = maintenance.merged_node(own, brought)
+    pairs = F.array_sort(F.transform(F.map_entries(merged["attributes"]), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return rows.select("c_custkey", F.array_join(pairs, ",").alias("attributes"), merged["summary"].alias("summary"), F.array_join(merged["labels"], ",").alias("labels"))
+
+
+@query(f"""with {ORDERED}, gone as (select 'c:' || c_custkey as g from customer where c_mktsegment = 'BUILDING')
+    select 'node' as kind, 'c:' || c_custkey as uuid from customer where c_mktsegment <> 'BUILDING'
+    union all select 'edge', uuid from ordered where source not in (select g from gone)""")
+def store_delete_cascade(t: Tables) -> DataFrame:
+    """Customers and their edges saved, then the customers of one segment deleted: the edges that touch them go as well."""
+    graph = _store(t, "delete")
+    key = F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("uuid")
+    graph.save(entity=t.customer.select(key, F.col("c_name").alias("name"), F.lit("").alias("group_id")), entity_edge=views.order_edges(t))
+    graph.delete("entity", t.customer.where("c_mktsegment = 'BUILDING'").select(key))
+    return graph.table("entity").select(F.lit("node").alias("kind"), "uuid").unionByName(graph.table("entity_edge").select(F.lit("edge").alias("kind"), "uuid"))
+
+
 # --- Scalars ---------------------------------------------------------------------------------------------------
 
 
@@ -745,6 +818,26 @@ def label_union_and_promotion(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(text.union_labels(F.array(entity, brand), F.array(entity, kind)), ",").alias("united"), F.array_join(text.promote_labels(resolved, F.array(entity, kind)), ",").alias("promoted"))
 
 
+@query("select doc_id, case when strlen(text) <= 300 then text else text[1:list_max(list_filter(range(0, 301), lambda n: strlen(text[1:n]) <= 300))] end as short from documents")
+def truncate_bytes(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.truncate_bytes(F.col("text"), 300).alias("short"))
+
+
+@query("""select event_id, case when event_type = 'error' then null else strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when epoch_us(ts) % 1000000 = 0 then '' else '.' || lpad(cast(epoch_us(ts) % 1000000 as varchar), 6, '0') end || '+00:00' end as iso from events""")
+def parse_iso(t: Tables) -> DataFrame:
+    """Times written with a Z or an offset are read alike; what isn't a time is null."""
+    iso = text.isoformat(F.col("ts"))
+    given = F.when(F.col("event_type") == "error", "no time").when(F.col("event_id") % 2 == 0, F.replace(iso, F.lit("+00:00"), F.lit("Z"))).otherwise(iso)
+    return t.events.select("event_id", text.isoformat(text.parse_iso(given)).alias("iso"))
+
+
+@query("""with clip as (select vec_id, cast(embedding[1:16] as double[]) as v from embeddings), n as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from clip)
+    select vec_id, cast(len(v) as int) as dim, round(v[1] / n, 6) as head, round(v[16] / n, 6) as tail from n""")
+def clipped_unit_vectors(t: Tables) -> DataFrame:
+    own = t.embeddings.select("vec_id", vector.normalize_l2(vector.clipped(F.col("embedding"), 16)).alias("v"))
+    return own.select("vec_id", F.size("v").alias("dim"), F.round(F.col("v")[0], 6).alias("head"), F.round(F.col("v")[15], 6).alias("tail"))
+
+
 # --- Chunks ----------------------------------------------------------------------------------------------------
 
 
