@@ -598,13 +598,14 @@ GRAMS = r"""n as (select distinct p_name as name, replace(trim(regexp_replace(re
 @query(f"""with {GRAMS} select a.name as a, b.name as b, round(len(list_intersect(a.grams, b.grams)) / len(list_distinct(list_concat(a.grams, b.grams))), 6) as jaccard
     from g a join g b on a.name < b.name where len(list_intersect(a.grams, b.grams)) / len(list_distinct(list_concat(a.grams, b.grams))) >= 0.3""")
 def shingle_jaccard_pairs(t: Tables) -> DataFrame:
-    """Pairs of distinct names that share a shingle: an equi-join on shingles, then the exact coefficient."""
-    names = t.part.select(F.col("p_name").alias("name")).distinct().withColumn("s", text.shingles(text.normalize_fuzzy(F.col("name"))))
-    each = names.select("name", F.explode("s").alias("x"))
-    pairs = each.select(F.col("name").alias("a"), "x").join(each.select(F.col("name").alias("b"), "x"), "x").where("a < b").select("a", "b").distinct()
-    both = pairs.join(names.select(F.col("name").alias("a"), F.col("s").alias("sa")), "a").join(names.select(F.col("name").alias("b"), F.col("s").alias("sb")), "b")
-    scored = both.withColumn("jaccard", text.jaccard(F.col("sa"), F.col("sb")))
-    return scored.where("jaccard >= 0.3").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Names with one fuzzy form are pairs as well: they share all shingles."""
+    names = t.part.select(F.col("p_name").alias("name")).distinct().withColumn("key", text.normalize_fuzzy(F.col("name")))
+    found = dedup.similar_keys(names, 0.3)
+    found = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
+    same = names.select("key").distinct().where(F.size(text.shingles(F.col("key"))) > 0).select(F.col("key").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("jaccard"))
+    left, right = (names.select(F.col("key").alias(side), F.col("name").alias(f"name_{side}")) for side in ("a", "b"))
+    pairs = found.unionByName(same).join(left, "a").join(right, "b").where("name_a < name_b")
+    return pairs.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), F.round("jaccard", 6).alias("jaccard"))
 
 
 @query()

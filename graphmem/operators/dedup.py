@@ -64,6 +64,22 @@ def resolve(extracted: DataFrame, existing: DataFrame) -> DataFrame:
     return exact.join(best, "uuid", "left").select("uuid", F.when(F.col("n") == 1, F.col("same_uuid")).otherwise(F.col("near_uuid")).alias("resolved_uuid"))
 
 
+def similar_keys(keys: DataFrame, least: float) -> DataFrame:
+    """``a, b, jaccard`` of the pairs of distinct keys (``key``) whose shingles have a Jaccard coefficient of ``least`` or more, over 0.
+
+    Two sets that alike share one of the first n - ceil(least * n) + 1 of their n shingles, in any order of all shingles.  In the order from rare to
+    frequent, frequent shingles join next to nothing.
+    """
+    sets = keys.select("key").distinct().withColumn("s", text.shingles(F.col("key")))
+    each = sets.select("key", F.explode("s").alias("x"))
+    ranked = each.join(each.groupBy("x").agg(F.count("*").alias("n")), "x").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("r"))
+    size = F.size("r")
+    first = ranked.select("key", F.explode(F.slice("r", F.lit(1), size - F.ceil(size * F.lit(least) - 1e-9).cast("int") + 1)).alias("g")).select("key", F.col("g.x").alias("x"))
+    pairs = first.withColumnRenamed("key", "a").join(first.withColumnRenamed("key", "b"), "x").where("a < b").select("a", "b").distinct()
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+    return both.select("a", "b", text.jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).where(F.col("jaccard") >= least)
+
+
 def edge_candidates(edges: DataFrame, new: DataFrame | None = None, embedding: str = "fact_embedding") -> DataFrame:
     """``uuid, other``: edges of the same endpoints as one of ``new`` (all edges, without it) that share a word with it or have a cosine of 0.6 at least."""
 

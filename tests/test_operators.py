@@ -196,3 +196,21 @@ def test_bm25_splits_a_text_once_for_statistics_and_once_for_scores(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 2
     assert [r["uuid"] for r in found.collect()] == ["a", "b"]
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 1.0])
+def test_similar_keys_lose_no_pair(spark, least):
+    words = ["red", "green", "blue", "iron", "steel", "", "a", "ab"]
+    keys = sorted({" ".join(x) for n in (1, 2, 3) for x in itertools.combinations(words, n)})
+
+    def grams(key):
+        bare = key.replace(" ", "")
+        return {bare[i : i + 3] for i in range(max(1, len(bare) - 2))} if len(bare) != 2 and bare else set()
+
+    model = {}
+    for a, b in itertools.combinations(keys, 2):
+        both = grams(a) | grams(b)
+        if both and len(grams(a) & grams(b)) / len(both) >= least:
+            model[a, b] = len(grams(a) & grams(b)) / len(both)
+    got = dedup.similar_keys(spark.createDataFrame([(k,) for k in keys + keys[:5]], "key string"), least).collect()
+    assert len(got) == len(model) and {(r["a"], r["b"]): r["jaccard"] for r in got} == pytest.approx(model)
