@@ -67,8 +67,8 @@ def resolve(extracted: DataFrame, existing: DataFrame) -> DataFrame:
 def similar_keys(keys: DataFrame, least: float) -> DataFrame:
     """``a, b, jaccard`` of the pairs of distinct keys (``key``) whose shingles have a Jaccard coefficient of ``least`` or more, over 0.
 
-    Two sets that alike share one of the first n - ceil(least * n) + 1 of their n shingles, in any order of all shingles.  In the order from rare to
-    frequent, frequent shingles join next to nothing.
+    Two sets that alike share one of the first n - ceil(least * n) + 1 of their n shingles, in any order of all shingles.  Ordered from rare to
+    frequent, the ceil(least * n) - 1 most frequent of a key are left out of the join.
     """
     sets = keys.select("key").distinct().withColumn("s", text.shingles(F.col("key")))
     each = sets.select("key", F.explode("s").alias("x"))
