@@ -19,22 +19,32 @@ def label_propagation(adjacency: DataFrame, max_rounds: int = MAX_ROUNDS) -> Dat
 
     A label is the uuid of a node, at first the node's own; only the order of labels counts, so no group is sorted.  In a round all nodes at once take the neighbour label of greatest edge count,
     the larger label of equals: if its count is over 1 as it is, else the larger of it and the own label.
-    Rounds go on until nothing changes, or up to a cap (labels can swing).  A round is two joins
-    on uniform keys with aggregates before the shuffle, and is written before the next one.
+    Rounds go on until nothing changes, or up to a cap.  Labels can swing for ever: each table also holds the labels of an earlier round, ``mark``, moved on at growing distances.  When
+    they come back, so will all later ones, and only the rounds left after whole swings are still run: the labels are those of the cap, without most of its rounds.
+    A round is two joins on uniform keys with aggregates before the shuffle, and is written before the next one.
     """
     links = written(adjacency.where("neighbor_uuid is not null"), "links")
-    labels = written(adjacency.select("group_id", "node_uuid").distinct().withColumn("label", F.col("node_uuid")), "labels")
-    for _ in range(max_rounds):
+    own = F.col("node_uuid")
+    labels = written(adjacency.select("group_id", "node_uuid").distinct().withColumns({"label": own, "mark": own}), "labels")
+    done, marked, last = 0, 0, max_rounds
+    while done < last:
         near = labels.select("group_id", F.col("node_uuid").alias("neighbor_uuid"), F.col("label").alias("theirs"))
         votes = links.join(near, ["group_id", "neighbor_uuid"]).groupBy("group_id", "node_uuid", "theirs").agg(F.sum("edge_count").alias("n"))
         best = votes.groupBy("group_id", "node_uuid").agg(F.max(F.struct("n", "theirs")).alias("best"))
         chosen = F.when(F.col("best").isNull(), F.col("label")).when(F.col("best.n") > 1, F.col("best.theirs")).otherwise(F.greatest("best.theirs", "label"))
-        after = written(labels.join(best, ["group_id", "node_uuid"], "left").select("group_id", "node_uuid", chosen.alias("label"), F.col("label").alias("was")), "labels")
-        moved = after.where("label <> was").limit(1).count()
+        if done - marked >= max(2, marked // 2):
+            marked, mark = done, "label"
+        else:
+            mark = "mark"
+        after = written(labels.join(best, ["group_id", "node_uuid"], "left").select("group_id", "node_uuid", chosen.alias("label"), F.col("label").alias("was"), F.col(mark).alias("mark")), "labels")
+        done += 1
+        moved, differs = after.agg(F.max(F.col("label") != F.col("was")), F.max(F.col("label") != F.col("mark"))).first()
         discard(labels)
         labels = after
         if not moved:
             break
+        if not differs and last == max_rounds:
+            last = done + (max_rounds - done) % (done - marked)
     discard(links)
     return labels.select("group_id", "node_uuid", "label")
 

@@ -4,6 +4,7 @@ import re
 from datetime import datetime, timedelta
 
 from graphmem import catalog
+from graphmem.operators import community
 
 
 def lower_words(s):
@@ -124,3 +125,24 @@ def test_label_propagation_settles(spark, small, monkeypatch):
     got = catalog.QUERIES["label_propagation_clusters"](spark, small).collect()
     assert {tuple(r) for r in got} == propagated(path)
     assert len({r["uuid"] for r in got}) == 1
+
+
+def test_label_propagation_swings(spark, monkeypatch):
+    """Labels that swing for ever are those of the cap, after few rounds: a pair by 2, a ring by 3, both by 6, from the second round on."""
+    links = [("g", a, b, 2) for a, b in ("ab", "ba", "xy", "yz", "zx")] + [("h", a, b, 1) for a, b in ("pq", "qp", "qr", "rq")]
+    graph = spark.createDataFrame(links, "group_id string, node_uuid string, neighbor_uuid string, edge_count long").coalesce(1)
+    rounds, written = [], community.written
+    monkeypatch.setattr(community, "written", lambda df, name: written(df, name) if name == "links" else rounds.append(name) or written(df, name))
+    for cap in (4, 20, 1000, 1001):
+        rounds.clear()
+        got = {r["node_uuid"]: r["label"] for r in community.label_propagation(graph, cap).collect()}
+        want = {x: x for x in "abxyzpqr"}
+        for _ in range(cap):
+            after = dict(want)
+            for x in want:
+                votes = {t: sum(n for _, a, b, n in links if a == x and want[b] == t) for t in {want[b] for _, a, b, _ in links if a == x}}
+                n, theirs = max((n, t) for t, n in votes.items())
+                after[x] = theirs if n > 1 else max(theirs, want[x])
+            want = after
+        assert got == want
+        assert len(rounds) <= 1 + min(cap, 40)
