@@ -1,14 +1,17 @@
-"""Bounded samples and connected components, over tables written to the shared folder."""
+"""Bounded samples and connected components, over tables written to the shared folder; freed memory given back."""
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphmem.sources.scratch import discard, written
 
-__all__ = ["connected_components", "discard", "first_bytes", "shuffle_partitions", "written"]
+__all__ = ["connected_components", "discard", "first_bytes", "give_back", "shuffle_partitions", "written"]
 
 
 def first_bytes(rows: DataFrame, text: str, order: list, most: int) -> DataFrame:
@@ -21,6 +24,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system, which Arrow's and the C library's allocators else keep for later; without effect where there is no ``malloc_trim``."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """``node, component``: the smallest node that each node of an edge reaches, itself included.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmem.llm import textarrays as ta
-from graphmem.llm.shared import first_bytes
+from graphmem.llm.shared import first_bytes, give_back
 
 #: Words of a window, and from one window's start to the next one's.
 WINDOW, STRIDE = 32, 24
@@ -66,13 +66,13 @@ class Words:
         self.grams_at = np.concatenate(([0, 0], np.cumsum(size)))
         place = np.arange(int(size.sum())) - np.repeat(self.grams_at[1:-1], size)
         middle = np.repeat(first, size) + place
-        padded = np.concatenate((data, np.zeros(HEAD_BYTES, np.uint8))).astype(np.uint64)
-        left = np.where(place > 0, padded[middle - 1], 1)
-        right = np.where(place < np.repeat(size, size) - 1, padded[middle + 1], 2)
-        self.grams = (ta.mix(left * np.uint64(65536) + padded[middle] * np.uint64(256) + right) % np.uint64(CHAR_ROWS)).astype(np.int64)
+        padded = np.concatenate((data, np.zeros(HEAD_BYTES, np.uint8)))
+        left = np.where(place > 0, padded[middle - 1], 1).astype(np.uint64)
+        right = np.where(place < np.repeat(size, size) - 1, padded[middle + 1], 2).astype(np.uint64)
+        self.grams = (ta.mix(left * np.uint64(65536) + padded[middle].astype(np.uint64) * np.uint64(256) + right) % np.uint64(CHAR_ROWS)).astype(np.int64)
         head = np.zeros(len(at), np.uint64)
         for k in range(HEAD_BYTES):
-            head = head * np.uint64(257) + np.where(k < size, padded[first + k], 0)
+            head = head * np.uint64(257) + np.where(k < size, padded[first + k], 0).astype(np.uint64)
         self.head = np.concatenate(([0], (ta.mix(head) % np.uint64(HEAD_ROWS)).astype(np.int64)))
 
     def grams_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,9 +212,17 @@ def _picked(rng: np.random.Generator, text: np.ndarray, toxic: np.ndarray, logit
 
 
 def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Network:
+    """A network for labelled texts; what making it took is given back, as the process that trains lives on."""
+    net = _trained(texts, toxic, seed)
+    give_back()
+    return net
+
+
+def _trained(texts: pa.Array, toxic: np.ndarray, seed: int) -> Network:
     net, rng = Network(seed), np.random.default_rng(seed)
     w = Words(texts)
     numbers, text = w.windows()
+    give_back()
     m, v, step, logits = {k: np.zeros_like(x) for k, x in net.p.items()}, {k: np.zeros_like(x) for k, x in net.p.items()}, 0, None
     for epoch in range(EPOCHS):
         rows = _picked(rng, text, toxic, logits)
@@ -260,7 +268,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL,
     toxic = got.column("marked").to_numpy() if got.num_rows else np.zeros(0, np.int64)
     if not (toxic == 1).any() or not (toxic == 0).any():
         return None
-    return train(got.column("text").combine_chunks(), toxic)
+    net = train(got.column("text").combine_chunks(), toxic)
+    del got, toxic
+    give_back()
+    return net
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
