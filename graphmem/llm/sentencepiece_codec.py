@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from graphmem.llm import marked_words as mw
 from graphmem.llm import textarrays as ta
+from graphmem.llm.shared import give_back
 
 #: What a character without a piece costs below the least piece score.
 UNKNOWN_PENALTY = 10.0
@@ -216,6 +217,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
                     same = [a == (b or "").replace(mw.MARK, " ") for a, b in zip(own.decode(ids, offs), part.to_pylist(), strict=True)]
                     arrays, names = [*arrays, pa.array(same, pa.bool_())], [*names, verify_col]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+            give_back()  # a worker serves later stages too
 
     return kept.mapInArrow(run, schema)
 

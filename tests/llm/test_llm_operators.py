@@ -726,6 +726,42 @@ def test_training_gives_memory_back():
     assert float(ran.stdout) < 60
 
 
+def test_encoding_gives_memory_back():
+    """What a worker runs on 80,000 new words, in a fresh process: it leaves the words it remembers and little else."""
+    if not os.path.exists("/proc/self/smaps_rollup") or not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("needs Linux and glibc")
+    code = f"""if True:
+        import re
+        import numpy as np, pyarrow as pa
+        from pyspark.sql import types as T
+        from graphmem.llm import sentencepiece_codec as sc
+        from graphmem.llm.shared import give_back
+
+        class Docs:
+            columns = ["text"]
+            schema = T.StructType([T.StructField("text", T.StringType())])
+
+            def drop(self, *names):
+                return self
+
+            def mapInArrow(self, run, schema):
+                return run
+
+        def held():
+            return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+        rng = np.random.default_rng(0)
+        batch = pa.record_batch({{"text": pa.array([" ".join(f"w{{k}}" for k in rng.integers(0, 200_000, 100)) for _ in range(1000)])}})
+        sum(x.num_rows for x in sc.encode(Docs(), {MODEL!r}, verify_col="same")(iter([batch])))
+        before = held()
+        give_back()
+        print(before - held())
+    """
+    ran = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, env=os.environ | {"OMP_NUM_THREADS": "1"})
+    assert ran.returncode == 0, ran.stderr
+    assert float(ran.stdout) < 8, ran.stdout
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = registered.op1_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out and toxic is not null").collect()
